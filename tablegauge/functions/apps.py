@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +15,7 @@ def application_name(client_environment: str = "client_environment") -> Column:
 
 def bi_flag(application: str = "application_name") -> Column:
     """1 for a BI tool or dashboard, NULL for anything else, so that count() counts them."""
-    name = F.col(application)
     patterns = [f"%{fragment}%" for fragment in BI_NAME_FRAGMENTS] + list(BI_HOSTED_PATTERNS)
-    is_bi = reduce(or_, [name.ilike(p) for p in patterns], name.isin(*BI_EXACT_NAMES))
-    return F.when(is_bi, F.lit(1))
+    quoted = ", ".join(f"r'{pattern}'" for pattern in patterns)
+    is_bi = F.expr(f"{application} ilike any ({quoted})")
+    return F.when(is_bi | F.col(application).isin(*BI_EXACT_NAMES), F.lit(1))

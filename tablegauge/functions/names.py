@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,27 @@ from tablegauge.params import ALL_DATABASES, ScanParams
 TABLE_KEY = ("database_name", "schema_name", "table_name")
 
 
-def name_part(full_name: Column | str, part: int) -> Column:
-    """Upper-cased n-th dotted part; '' when the name has fewer parts."""
-    name = F.col(full_name) if isinstance(full_name, str) else full_name
-    return F.upper(F.split_part(name, F.lit("."), F.lit(part)))
+def with_name_parts(df: DataFrame, full_name: str = "full_table_name") -> DataFrame:
+    """Add database_name, schema_name and table_name, upper-cased; '' for a missing part.
 
+    The name is split once, and the three parts are taken from the result.
+    """
+    split = df.withColumn("parts", F.split(F.upper(full_name), r"\."))
+    return split.withColumns({
+        column: F.coalesce(F.get("parts", F.lit(i)), F.lit(""))
+        for i, column in enumerate(TABLE_KEY)
+    }).drop("parts")
 
-def with_name_parts(df: DataFrame, full_name: str = "full_table_name") -> DataFrame:
-    """Add database_name, schema_name and table_name."""
-    return df.withColumns(
-        {column: name_part(full_name, part) for part, column in enumerate(TABLE_KEY, start=1)}
-    )
+
+def is_complete(full_name: str = "full_table_name") -> Column:
+    """Whether the name has a schema and a table part, told without splitting it."""
+    return F.col(full_name).rlike(r"^[^.]*\.[^.]+\.[^.]+")
+
+
+def is_one_of(tables: tuple[tuple[str, str, str], ...], full_name: str) -> Column:
+    """Whether the first three parts of the name are one of the tables, in any letter case."""
+    names = "|".join(re.escape(".".join(table)) for table in tables)
+    return F.col(full_name).rlike(rf"(?i)^({names})(\.|$)")
 
 
 def upper_key(database: str, schema: str, table: str) -> list[Column]:

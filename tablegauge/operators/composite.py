@@ -10,11 +10,9 @@ from tablegauge.functions import scoring
 from tablegauge.functions.bands import whole
 from tablegauge.functions.names import TABLE_KEY
 from tablegauge.operators.consumption import SCOPED_KEY, with_cr_flag
-from tablegauge.operators.semantic import QUALITY_FLAGS, sv_rollup
+from tablegauge.operators.semantic import BASE_KEY, QUALITY_FLAGS
 from tablegauge.params import ALL_DATABASES, ScanParams
 
-BASE_KEY = ("base_database", "base_schema", "base_table")
-
 
 def demand_coverage(scores: DataFrame, params: ScanParams) -> DataFrame:
     """Share of reads on CR tables per scope; NULL when there are too few reads to tell."""
@@ -45,7 +43,8 @@ def _based_on(quality: DataFrame, *columns: str) -> DataFrame:
 
 def covered_cr_keys(scores: DataFrame, quality: DataFrame, params: ScanParams) -> DataFrame:
     """CR tables per scope that at least one semantic view is based on."""
-    return cr_keys(scores, params).join(_based_on(quality), list(TABLE_KEY), "left_semi")
+    based = _based_on(quality).distinct()
+    return cr_keys(scores, params).join(based, list(TABLE_KEY), "left_semi")
 
 
 def relevant_views(scores: DataFrame, quality: DataFrame, params: ScanParams) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge import constants as K
 from tablegauge.operators.composite import recommendation_text
@@ -47,23 +48,27 @@ def append_history(runs: DataFrame, items: DataFrame, folder: str) -> None:
 
     Items go first: a run is only visible once its items are.
     """
-    _append(items, f"{folder}/{ITEMS}", ["run_id", "item_rank"])
-    _append(runs, f"{folder}/{RUNS}", ["run_id"], partition="database_filter")
-
-
-def _append(df: DataFrame, path: str, key: list[str], partition: str | None = None) -> None:
-    stored = _stored(df.sparkSession, path)
-    if stored is not None:
-        df = df.join(stored.select(*key), key, "left_anti")
-    writer = df.write.mode("append")
+    _append(items, SCAN_IMPROVEMENT_ITEMS, f"{folder}/{ITEMS}", ["run_id", "item_rank"])
+    _append(runs, SCAN_RUNS, f"{folder}/{RUNS}", ["run_id"], partition="database_filter")
+
+
+def _append(
+    df: DataFrame, schema: T.StructType, path: str, key: list[str], partition: str | None = None
+) -> None:
+    rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    if _exists(df.sparkSession, path):
+        stored = df.sparkSession.read.schema(schema).parquet(path)
+        rows = rows.join(stored.select(*key), key, "left_anti").select(*schema.fieldNames())
+    writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        return spark.read.parquet(path)
+        spark.read.parquet(path)
     except AnalysisException:
-        return None
+        return False
+    return True
 
 
 def load_runs(spark: SparkSession, folder: str) -> DataFrame:

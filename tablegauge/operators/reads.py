@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.functions.apps import application_name, bi_flag
-from tablegauge.functions.names import TABLE_KEY, in_scope, sampled, with_name_parts
+from tablegauge.functions.names import (
+    TABLE_KEY, in_scope, is_complete, is_one_of, sampled, with_name_parts,
+)
 from tablegauge.params import ScanParams
 from tablegauge.sources.relations import in_dates
 
 #: A scored table: its identity and the name as logged, so letter-case variants stay apart.
 READ_KEY = (*TABLE_KEY, "full_table_name")
+#: What is counted about a table: a latency, a user or a BI tool.
+FACT_KEY = (*READ_KEY, "fact", "label", "ms")
 
 #: Latency buckets per unit of ln(1 + ms). A bucket spans 0.1% of its latency, so even a
 #: table with a third of all reads spreads over thousands of them.
@@ -34,27 +38,25 @@ def touched_objects(access: DataFrame, array: str) -> DataFrame:
 
 def excluding_internal(reads: DataFrame, params: ScanParams) -> DataFrame:
     """Drop reads of the tables this library writes itself."""
-    for database, schema, table in params.internal_tables:
-        reads = reads.where(~(
-            (F.col("database_name") == database)
-            & (F.col("schema_name") == schema)
-            & (F.col("table_name") == table)
-        ))
-    return reads
+    return reads.where(~is_one_of(params.internal_tables, "full_table_name"))
+
+
+def table_reads(access: DataFrame, params: ScanParams) -> DataFrame:
+    """Objects read by read-only statements, without incomplete and internal names."""
+    read_only = access.where(F.array_size("objects_modified") == 0)
+    reads = touched_objects(read_only, "base_objects_accessed").where(is_complete())
+    return in_scope(excluding_internal(reads, params), "database_name", params)
 
 
 def access_flatten(access: DataFrame, params: ScanParams) -> DataFrame:
     """Table reads of read-only statements in the window: one row per (query, object)."""
-    window = sampled(in_dates(access, "query_start_time", params), params)
-    read_only = window.where(F.array_size("objects_modified") == 0)
-    reads = touched_objects(read_only, "base_objects_accessed")
-    named = reads.where((F.col("schema_name") != "") & (F.col("table_name") != ""))
-    return in_scope(excluding_internal(named, params), "database_name", params)
+    window = in_dates(access, "query_start_time", params)
+    return table_reads(sampled(window, params), params)
 
 
-def eligible_queries(queries: DataFrame, params: ScanParams) -> DataFrame:
-    """Successful user SELECTs in the window that ran on a warehouse for some time."""
-    return in_dates(queries, "start_time", params).where(
+def eligible_filter(queries: DataFrame, params: ScanParams) -> DataFrame:
+    """Successful user SELECTs that ran on a warehouse for some time."""
+    return queries.where(
         (F.col("query_type") == "SELECT")
         & F.col("error_code").isNull()
         & (F.col("execution_time") > 0)
@@ -64,6 +66,11 @@ def eligible_queries(queries: DataFrame, params: ScanParams) -> DataFrame:
     )
 
 
+def eligible_queries(queries: DataFrame, params: ScanParams) -> DataFrame:
+    """Eligible queries in the window."""
+    return eligible_filter(in_dates(queries, "start_time", params), params)
+
+
 def session_apps(sessions: DataFrame) -> DataFrame:
     """Application and BI flag per session."""
     named = sessions.select("session_id", application_name().alias("application_name"))
@@ -88,11 +95,12 @@ def reads_joined(
     )
 
 
-def _facts(reads: DataFrame) -> DataFrame:
-    """Counted (table, fact) pairs: its latencies, its users and its BI tools.
+def read_facts(reads: DataFrame, *by: str) -> DataFrame:
+    """Counted (table, fact) pairs: a table's latencies, its users and its BI tools.
 
     One grouping covers the median and both distinct counts. It combines on the map side,
-    and a hot table spreads over its facts instead of landing in one task.
+    and a hot table spreads over its facts instead of landing in one task. ``by`` adds
+    grouping columns, such as the day; facts of several days add up (:func:`merge_facts`).
     """
     def fact(kind: str, label: Column | None = None, ms: Column | None = None) -> Column:
         label = F.lit(None).cast("string") if label is None else label
@@ -100,15 +108,17 @@ def _facts(reads: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("fact"), label.alias("label"), ms.alias("ms"))
 
     tool = F.when(F.col("is_bi_or_dashboard") == 1, F.col("application_name"))
-    pairs = reads.select(*READ_KEY, F.inline(F.array(
+    pairs = reads.select(*by, *READ_KEY, F.inline(F.array(
         fact("latency", ms=F.col("execution_time_ms")),
         fact("user", label=F.col("user_name")),
         fact("app", label=tool),
     )))
-    counted = pairs.groupBy(*READ_KEY, "fact", "label", "ms").agg(F.count("*").alias("n"))
-    # Never NULL, so that joining on it adds no filter below the shared grouping.
-    bucket = F.floor(F.log1p("ms") * BUCKETS_PER_LOG_UNIT).cast("int")
-    return counted.withColumn("bucket", F.coalesce(bucket, F.lit(NO_BUCKET)))
+    return pairs.groupBy(*by, *FACT_KEY).agg(F.count("*").alias("n"))
+
+
+def merge_facts(facts: DataFrame) -> DataFrame:
+    """Facts counted apart, such as day by day, as facts of the whole."""
+    return facts.groupBy(*FACT_KEY).agg(F.sum("n").alias("n"))
 
 
 def _of(fact: str, value: Column) -> Column:
@@ -116,13 +126,20 @@ def _of(fact: str, value: Column) -> Column:
 
 
 def reads_per_table(reads: DataFrame, params: ScanParams) -> DataFrame:
-    """Reads, users, BI reads, BI tools and the exact interpolated median latency per table.
+    """Reads, users, BI reads, BI tools and the exact interpolated median latency per table."""
+    return summarise_facts(read_facts(reads), params)
+
+
+def summarise_facts(facts: DataFrame, params: ScanParams) -> DataFrame:
+    """Per-table counts and median latency from counted facts.
 
     The median of a group is found without holding the group: latency buckets are counted,
     the one or two buckets with the middle ranks are picked, and only their values are
     ranked. Tables below ``min_reads`` are left out.
     """
-    facts = _facts(reads)
+    # Never NULL, so that joining on it adds no filter below the grouping both sides share.
+    bucket = F.floor(F.log1p("ms") * BUCKETS_PER_LOG_UNIT).cast("int")
+    facts = facts.withColumn("bucket", F.coalesce(bucket, F.lit(NO_BUCKET)))
     label = F.col("label")
     buckets = facts.groupBy(*READ_KEY, "bucket").agg(
         F.coalesce(F.sum(_of("latency", F.col("n"))), F.lit(0)).alias("in_bucket"),

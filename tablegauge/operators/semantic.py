@@ -13,6 +13,8 @@ from tablegauge.functions.names import in_scope
 from tablegauge.params import ScanParams
 
 VIEW = "semantic_view_id"
+#: Identity of a view's base table.
+BASE_KEY = ("base_database", "base_schema", "base_table")
 #: Kinds of view members: relation -> (kind, name column).
 MEMBERS = {
     "semantic_dimensions": ("dimension", "semantic_dimension_name"),
@@ -68,9 +70,11 @@ def sv_tables_latest(tables: DataFrame) -> DataFrame:
 
 def sv_base_tables(latest_tables: DataFrame) -> DataFrame:
     """Distinct base tables of each view; only database and table must be known."""
-    return latest_tables.where(
-        F.col("base_database").isNotNull() & F.col("base_table").isNotNull()
-    ).select(VIEW, "base_database", "base_schema", "base_table").distinct()
+    return latest_tables.where(_has_base()).select(VIEW, *BASE_KEY).distinct()
+
+
+def _has_base() -> Column:
+    return F.col("base_database").isNotNull() & F.col("base_table").isNotNull()
 
 
 def members_latest(members: dict[str, DataFrame]) -> DataFrame:
@@ -116,7 +120,8 @@ def _pieces(
     parts = [
         latest_views.select(VIEW, F.lit("view").alias("kind"),
                             F.col("view_comment").alias("comment")),
-        latest_tables.select(VIEW, F.lit("table").alias("kind"), *keys, "synonyms", "comment"),
+        latest_tables.select(VIEW, F.lit("table").alias("kind"), *keys, "synonyms", "comment",
+                             _has_base().alias("has_base")),
         latest_members.select(VIEW, "kind", "synonyms", "comment"),
     ]
     if relationships is not None:
@@ -192,6 +197,7 @@ def sv_quality(
         F.bool_or(F.col("kind") == "relationship").alias("has_relationships"),
         F.bool_or(F.col("kind") == "metric").alias("has_metrics"),
         F.coalesce(_mean_comment_length(), F.lit(0.0)).alias("avg_comment_length"),
+        F.coalesce(F.bool_or("has_base"), F.lit(False)).alias("has_base"),
     )
     points = reduce(Column.__add__, [F.col(flag).cast("int") for flag in QUALITY_FLAGS])
     quality = (
@@ -199,29 +205,36 @@ def sv_quality(
         + scoring.vqr_points(F.col("n_verified_queries"))
         + scoring.comment_points(F.col("avg_comment_length"))
     ) / K.QUALITY_PARTS
-    return (
+    scored = (
         latest_views.select(VIEW, "sv_fqn")
         .join(signals, VIEW)
-        .join(sv_base_tables(latest_tables), VIEW, "left")
         .join(vqr, "sv_fqn", "left")
         .withColumn("n_verified_queries", F.coalesce("n_verified_queries", F.lit(0)))
-        .select(
-            "sv_fqn", "base_database", "base_schema", "base_table", *QUALITY_FLAGS,
-            "avg_comment_length", "n_verified_queries",
-            F.round(quality, 4).alias("quality_score"),
-        )
+        .withColumn("quality_score", F.round(quality, 4))
+    )
+    # Inner join plus the rest instead of an outer join: the side that repeats a view with
+    # very many base tables can then be split.
+    based = scored.join(sv_base_tables(latest_tables), VIEW)
+    unbased = scored.where(~F.col("has_base"))
+    return based.unionByName(unbased, allowMissingColumns=True).select(
+        "sv_fqn", *BASE_KEY, *QUALITY_FLAGS,
+        "avg_comment_length", "n_verified_queries", "quality_score",
     )
 
 
 def by_quality(quality: DataFrame) -> DataFrame:
     """Views, best first."""
     return quality.orderBy(
-        F.desc("quality_score"), "sv_fqn", "base_database", "base_schema", "base_table"
+        F.desc("quality_score"), "sv_fqn", *BASE_KEY
     )
 
 
 def sv_rollup(quality: DataFrame) -> DataFrame:
-    """One record per view: its flags, quality and number of base tables."""
+    """One record per view: its flags, quality and number of base tables.
+
+    The tables themselves stay rows: a view may have any number of them, and whether it
+    touches a given table is a join, not a search in a list.
+    """
     flags = [F.bool_or(flag).alias(flag) for flag in QUALITY_FLAGS]
     values = ("avg_comment_length", "n_verified_queries", "quality_score")
     base = F.col("base_table").isNotNull()

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from tablegauge import constants as K
 from tablegauge.functions import scoring
-from tablegauge.functions.names import TABLE_KEY, upper_key
-from tablegauge.operators.reads import touched_objects
+from tablegauge.functions.names import TABLE_KEY, upper_key, with_name_parts
 from tablegauge.operators.semantic import live
 from tablegauge.params import ScanParams
 from tablegauge.sources.relations import since_days_ago
@@ -191,12 +190,11 @@ def _access_marks(access: DataFrame, params: ScanParams) -> DataFrame:
     objects = recent.select(F.explode(both).alias("o")).where(
         F.col("o.objectDomain") == "Table"
     )
-    named = objects.select(
-        *[F.upper(F.split_part("o.objectName", F.lit("."), F.lit(i))).alias(c)
-          for i, c in enumerate(TABLE_KEY, start=1)],
+    named = with_name_parts(objects.select(
+        F.col("o.objectName").alias("full_table_name"),
         (~F.col("o.written")).alias("is_read"), F.col("o.written").alias("is_written"),
-    )
-    return named
+    ))
+    return named.drop("full_table_name")
 
 
 def _tag_marks(tags: DataFrame) -> DataFrame:

@@ -661,6 +661,7 @@ def oracle_sql() -> dict[str, str]:
             from requirements""",
         # history and report
         "history_append": f"select {_RUNS} from scan_runs",
+        "history_items_append": "select * from scan_items",
         "history_runs": f"select {_RUNS} from scan_runs where database_filter = 'D1'",
         "history_items": """select i.*, r.run_ts, r.database_filter from scan_items i
             join scan_runs r on i.run_id = r.run_id""",

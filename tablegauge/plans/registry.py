@@ -384,11 +384,22 @@ def six_factor_detail(e):
 
 # ---- history and report ------------------------------------------------------------------
 
-@query
-def history_append(e):
+def _stored_history(e: DerivedEstate) -> str:
+    """A new folder in the shared one to which all runs and items have been appended."""
     folder = f"{shared_folder(e.spark)}/history-{uuid.uuid4().hex}"
     history.append_history(e["scan_runs"], e["scan_improvement_items"], folder)
-    return e.spark.read.parquet(f"{folder}/{history.RUNS}")
+    return folder
+
+
+@query
+def history_append(e):
+    runs = history.load_runs(e.spark, _stored_history(e))
+    return runs.withColumn("run_ts", F.col("run_ts").cast("timestamp_ntz"))
+
+
+@query
+def history_items_append(e):
+    return history.load_items(e.spark, _stored_history(e))
 
 
 @query

@@ -11,6 +11,7 @@ from tablegauge.operators import composite as comp
 from tablegauge.operators import consumption, history, items, semantic, sixfactor
 from tablegauge.params import ScanParams
 from tablegauge.session import settle
+from tablegauge.sources.schemas import INPUTS
 
 Relations = Mapping[str, DataFrame]
 LOGS = ("access_history", "query_history", "sessions", "tables")
@@ -29,11 +30,15 @@ def scores_of(estate: Relations, params: ScanParams) -> DataFrame:
 
 
 def quality_of(estate: Relations) -> DataFrame:
-    """Quality of every semantic view."""
+    """Quality of every semantic view; without view properties, no verified queries."""
+    views = estate["semantic_views"]
+    if "sv_properties" in estate:
+        properties = estate["sv_properties"]
+    else:
+        properties = views.sparkSession.createDataFrame([], INPUTS["sv_properties"])
     return semantic.sv_quality(
-        estate["semantic_views"], estate["semantic_tables"],
-        {name: estate[name] for name in semantic.MEMBERS},
-        estate["semantic_relationships"], semantic.vqr_counts(estate["sv_properties"]),
+        views, estate["semantic_tables"], {name: estate[name] for name in semantic.MEMBERS},
+        estate["semantic_relationships"], semantic.vqr_counts(properties),
     )
 
 
@@ -49,12 +54,13 @@ def scopes_of(estate: Relations, params: ScanParams) -> DataFrame:
 def full_scan(estate: Relations, params: ScanParams) -> Scan:
     """Demand and semantic scores of every scope, with the to-do list that fits each.
 
-    Scores and qualities have one row per table and view; they are computed once and kept,
-    so the logs are scanned a single time for everything that follows.
+    Scores, qualities and composites have one row per table, view and scope; they are
+    computed once and kept, so the logs are scanned a single time for all that follows.
     """
     scores = settle(scores_of(estate, params))
     quality = settle(quality_of(estate))
-    composite = comp.composite_scores(scores, quality, params, scopes_of(estate, params))
+    scopes = scopes_of(estate, params)
+    composite = settle(comp.composite_scores(scores, quality, params, scopes))
     todo = items.improvement_items(composite, scores, quality, params)
     return Scan(scores, quality, items.top_targets(composite, todo), todo)
 

@@ -353,14 +353,21 @@ class DerivedEstate(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self._folder = folder
+        self._sources: dict[str, DataFrame] = {}
 
     def source(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._folder}/{table}.parquet")
+        if table not in self._sources:
+            path = f"{self._folder}/{table}.parquet"
+            self._sources[table] = self.spark.read.parquet(path)
+        return self._sources[table]
 
     def __getitem__(self, name: str) -> DataFrame:
         table, rule = RULES[name]
         return rule(self.source(table))
 
+    def __contains__(self, name: object) -> bool:
+        return name in RULES
+
     def __iter__(self) -> Iterator[str]:
         return iter(RULES)
 

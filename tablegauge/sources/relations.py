@@ -33,6 +33,9 @@ class Estate(Mapping[str, DataFrame]):
             schema = schema.fromJson(schema.jsonValue()).add(LOG_DATE, "date")
         return self._spark.read.schema(schema).parquet(f"{self._root}/{name}")
 
+    def __contains__(self, name: object) -> bool:
+        return name in self._names
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._names)
 
