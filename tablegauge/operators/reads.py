@@ -14,8 +14,10 @@ from tablegauge.sources.relations import in_dates
 
 #: A scored table: its identity and the name as logged, so letter-case variants stay apart.
 READ_KEY = (*TABLE_KEY, "full_table_name")
-#: What is counted about a table: a latency, a user or a BI tool.
-FACT_KEY = (*READ_KEY, "fact", "label", "ms")
+#: What is counted about a table: a latency, a user or a BI tool. The logged name stands for
+#: the whole identity, so rows stay narrow and names are split once per table, not per read.
+NAME = "full_table_name"
+FACT_KEY = (NAME, "fact", "label", "ms")
 
 #: Latency buckets per unit of ln(1 + ms). A bucket spans 0.1% of its latency, so even a
 #: table with a third of all reads spreads over thousands of them.
@@ -108,7 +110,7 @@ def read_facts(reads: DataFrame, *by: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("fact"), label.alias("label"), ms.alias("ms"))
 
     tool = F.when(F.col("is_bi_or_dashboard") == 1, F.col("application_name"))
-    pairs = reads.select(*by, *READ_KEY, F.inline(F.array(
+    pairs = reads.select(*by, NAME, F.inline(F.array(
         fact("latency", ms=F.col("execution_time_ms")),
         fact("user", label=F.col("user_name")),
         fact("app", label=tool),
@@ -141,16 +143,16 @@ def summarise_facts(facts: DataFrame, params: ScanParams) -> DataFrame:
     bucket = F.floor(F.log1p("ms") * BUCKETS_PER_LOG_UNIT).cast("int")
     facts = facts.withColumn("bucket", F.coalesce(bucket, F.lit(NO_BUCKET)))
     label = F.col("label")
-    buckets = facts.groupBy(*READ_KEY, "bucket").agg(
+    buckets = facts.groupBy(NAME, "bucket").agg(
         F.coalesce(F.sum(_of("latency", F.col("n"))), F.lit(0)).alias("in_bucket"),
         F.count(_of("user", label)).alias("users"),
         F.sum(_of("app", F.when(label.isNotNull(), F.col("n")))).alias("apps_read"),
         F.count(_of("app", label)).alias("tools"),
     )
-    table = Window.partitionBy(*READ_KEY)
+    table = Window.partitionBy(NAME)
     running = table.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = buckets.select(
-        *READ_KEY, "bucket",
+        NAME, "bucket",
         F.sum("in_bucket").over(table).alias("analytical_reads"),
         F.sum("users").over(table).alias("distinct_users"),
         F.coalesce(F.sum("apps_read").over(table), F.lit(0)).alias("app_reads"),
@@ -163,12 +165,12 @@ def summarise_facts(facts: DataFrame, params: ScanParams) -> DataFrame:
     middle = ranked.withColumn("low", F.floor(last / 2)).withColumn("high", F.ceil(last / 2))
     middle = middle.where((F.col("before") <= F.col("high")) & (F.col("upto") > F.col("low")))
 
-    in_bucket = Window.partitionBy(*READ_KEY, "bucket").orderBy("ms").rowsBetween(
+    in_bucket = Window.partitionBy(NAME, "bucket").orderBy("ms").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     upto = F.col("before") + F.sum("n").over(in_bucket)
     values = (
-        facts.join(middle, [*READ_KEY, "bucket"])
+        facts.join(middle, [NAME, "bucket"])
         .withColumn("value_upto", upto)
         .withColumn("value_before", F.col("value_upto") - F.col("n"))
     )
@@ -178,7 +180,7 @@ def summarise_facts(facts: DataFrame, params: ScanParams) -> DataFrame:
         return F.max(F.when(holds, F.col("ms")))
 
     counts = ("analytical_reads", "distinct_users", "app_reads", "distinct_app_tools")
-    return values.groupBy(*READ_KEY).agg(
+    return with_name_parts(values.groupBy(NAME).agg(
         *[F.max(c).alias(c) for c in counts],
         ((at("low") + at("high")) / 2).alias("p50_execution_ms"),
-    )
+    ))

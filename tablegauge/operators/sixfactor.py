@@ -179,20 +179,16 @@ def _access_marks(access: DataFrame, params: ScanParams) -> DataFrame:
     """Tables read and written by any statement of the look-back, from one pass over the log."""
     recent = since_days_ago(access, "query_start_time", params, params.lookback_days)
 
-    def tagged(array: str, written: bool) -> Column:
-        return F.transform(F.coalesce(array, F.array()), lambda o: F.struct(
-            o["objectName"].alias("objectName"),
-            o["objectDomain"].alias("objectDomain"),
-            F.lit(written).alias("written"),
-        ))
-
-    both = F.concat(tagged("base_objects_accessed", False), tagged("objects_modified", True))
-    objects = recent.select(F.explode(both).alias("o")).where(
+    sides = recent.select(F.inline(F.array(
+        F.struct(F.lit(False).alias("written"), F.col("base_objects_accessed").alias("objects")),
+        F.struct(F.lit(True).alias("written"), F.col("objects_modified").alias("objects")),
+    )))
+    objects = sides.select("written", F.explode("objects").alias("o")).where(
         F.col("o.objectDomain") == "Table"
     )
     named = with_name_parts(objects.select(
         F.col("o.objectName").alias("full_table_name"),
-        (~F.col("o.written")).alias("is_read"), F.col("o.written").alias("is_written"),
+        (~F.col("written")).alias("is_read"), F.col("written").alias("is_written"),
     ))
     return named.drop("full_table_name")
 

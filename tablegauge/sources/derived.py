@@ -32,19 +32,18 @@ _OBJECT = "named_struct('objectName', {0}, 'objectDomain', {1})"
 
 
 def access_history(lineitem: DataFrame) -> DataFrame:
-    """A log row per line. Some touch a second table, a view, an incomplete name or the
-    library's own tables; some names are logged in lower case; some rows touch nothing."""
+    """A log row per line with two objects: a table, and a second table, a view, an incomplete
+    name or the library's own table. Some names are in lower case; some rows touch nothing."""
     second = "concat('D', cast(l_suppkey % 2 as string), '.S', cast(l_suppkey % 5 as string)," \
              " '.T', cast(l_suppkey as string))"
-    objects = f"""array_compact(array(
-        {_OBJECT.format(
-            f"case when l_linenumber = 4 and t % 10 = 3 then lower({_NAME}) else {_NAME} end",
-            "case when l_linenumber > 4 and l_partkey % 4 = 1 then 'View' else 'Table' end")},
-        case when l_linenumber = 1 then {_OBJECT.format(second, "'Table'")} end,
-        case when l_linenumber = 6 then {_OBJECT.format("'D0.S1'", "'Table'")} end,
-        case when l_linenumber = 5 then {
-            _OBJECT.format("'tablegauge.public.scan_runs'", "'Table'")} end
-    ))"""
+    main = _OBJECT.format(
+        f"case when l_linenumber = 4 and t % 10 = 3 then lower({_NAME}) else {_NAME} end",
+        "case when l_linenumber > 4 and l_partkey % 4 = 1 then 'View' else 'Table' end")
+    other = _OBJECT.format(
+        f"case l_linenumber when 1 then {second} when 5 then 'tablegauge.public.scan_runs'"
+        " when 6 then 'D0.S1' else 'D0.SEM.V0' end",
+        "case when l_linenumber in (1, 5, 6) then 'Table' else 'View' end")
+    objects = f"array({main}, {other})"
     written = f"array({_OBJECT.format(_NAME, chr(39) + 'Table' + chr(39))})"
     return lineitem.selectExpr("*", f"{_HOT} as t").selectExpr(
         "cast(l_orderkey as string) as query_id",

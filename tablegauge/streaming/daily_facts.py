@@ -21,8 +21,7 @@ from tablegauge.params import ScanParams
 LATENESS = "45 minutes"
 #: Longest time between a query's start and the moment its accesses are logged under.
 MAX_SKEW = "1 hour"
-FACT_COLUMNS = "day date, database_name string, schema_name string, table_name string, " \
-    "full_table_name string, fact string, label string, ms double, n long"
+FACT_COLUMNS = "day date, full_table_name string, fact string, label string, ms double, n long"
 
 
 def daily_facts(
