@@ -45,7 +45,7 @@ def in_scope(df: DataFrame, database: str, params: ScanParams) -> DataFrame:
     """Keep one database when the scan is limited to one. ``database`` is upper-cased."""
     if params.single_scope is None:
         return df
-    return df.where(F.col(database) == params.single_scope.upper())
+    return df.where(F.col(database) == params.single_scope)
 
 
 def per_scope(df: DataFrame, params: ScanParams, database: str = "database_name") -> DataFrame:

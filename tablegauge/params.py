@@ -65,8 +65,8 @@ class ScanParams:
 
     @property
     def single_scope(self) -> str | None:
-        """The one database to look at, or None for the whole estate."""
-        return None if self.scope in (None, ALL_DATABASES) else self.scope
+        """The one database to look at, upper-cased, or None for the whole estate."""
+        return None if self.scope in (None, ALL_DATABASES) else self.scope.upper()
 
     def days_ago(self, days: int) -> str:
         return str(self.now - timedelta(days=days))

@@ -548,8 +548,13 @@ _SV = """sv_fqn, {} has_pk, has_synonyms, has_unique_keys, has_distinct_ranges,
 _SAMPLE = "cast('0x' || substr(md5(query_id), 1, 8) as bigint) % 100 < 30"
 
 
+def check_key(requirement: str) -> str:
+    """Name of the query of a requirement."""
+    return f"check_{requirement.removesuffix('_declaration')}"
+
+
 def _each_table(select: str) -> str:
-    """One select per source table; {table}, {first}, {known} stand for its parts."""
+    """One select per source table, whose name stands for {table}."""
     return " union all ".join(select.replace("{table}", t) for t in SOURCES)
 
 
@@ -637,7 +642,7 @@ def oracle_sql() -> dict[str, str]:
         # six factors
         "scope_list": "select database_name, schema_name from schema_list",
         "catalog_columns_base": f"select {_PK}, column_name, comment, is_required from base_columns",
-        **{f"check_{c.requirement}": f"select {_RATIO} from check_{c.requirement}" for c in CHECKS},
+        **{check_key(c.requirement): f"select {_RATIO} from check_{c.requirement}" for c in CHECKS},
         "check_column_masking_search": f"select {_RATIO} from ({_masking('matches')})",
         "six_factor_requirements": """select database_name, schema_name, factor, requirement, label,
             numerator, denominator, round(value, 6) as value, value >= 0.5 as passed,

@@ -19,7 +19,7 @@ from tablegauge.operators import (
 )
 from tablegauge.params import ScanParams
 from tablegauge.plans import scan
-from tablegauge.plans.oracle import SOURCES
+from tablegauge.plans.oracle import SOURCES, check_key
 from tablegauge.session import settle, shared_folder
 from tablegauge.sources.derived import AS_OF, DerivedEstate
 
@@ -282,12 +282,9 @@ def composite_scores(e):
 @query
 def gap_class(e):
     """The gap of every stored run, worked out again from its scores."""
-    runs = e["scan_runs"]
-    demand = F.when(
-        F.substring_index("run_id", "-", -1).cast("long") % 11 > 0,
-        F.col("demand_coverage") / 100)
-    return runs.select("run_id", scoring.gap_class(
-        demand, F.col("n_cr_tables"), F.col("sv_coverage") / 100, F.col("sv_quality") / 100
+    return e["scan_runs"].select("run_id", scoring.gap_class(
+        F.col("demand_coverage") / 100, F.col("n_cr_tables"),
+        F.col("sv_coverage") / 100, F.col("sv_quality") / 100,
     ).alias("gap"))
 
 
@@ -344,7 +341,7 @@ def _check(name: str, params: ScanParams = PARAMS) -> Query:
 
 
 for _spec in sixfactor.CHECKS:
-    _QUERIES[f"check_{_spec.requirement}"] = _check(_spec.requirement)
+    _QUERIES[check_key(_spec.requirement)] = _check(_spec.requirement)
 _QUERIES["check_column_masking_search"] = _check(
     "column_masking", PARAMS.with_(pii_match="search"))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablegauge.params import ScanParams
 from tablegauge.sources.schemas import INPUTS, LOG_TIMES
@@ -28,10 +29,10 @@ class Estate(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._names:
             raise KeyError(name)
-        schema = INPUTS[name]
-        if name in LOG_TIMES:
-            schema = schema.fromJson(schema.jsonValue()).add(LOG_DATE, "date")
-        return self._spark.read.schema(schema).parquet(f"{self._root}/{name}")
+        path, schema = f"{self._root}/{name}", INPUTS[name]
+        if name in LOG_TIMES and LOG_DATE in self._spark.read.parquet(path).columns:
+            schema = T.StructType([*schema.fields, T.StructField(LOG_DATE, T.DateType())])
+        return self._spark.read.schema(schema).parquet(path)
 
     def __contains__(self, name: object) -> bool:
         return name in self._names

@@ -73,6 +73,22 @@ def test_stored_estate_scores_like_the_derived_one(stored, estate):
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
+def test_logs_need_not_be_laid_out_by_date(spark, estate, tmp_path):
+    for name in scan.LOGS:
+        estate[name].write.parquet(f"{tmp_path}/{name}")
+    plain = Estate(spark, str(tmp_path))
+    params = PARAMS.with_(scope="d1")
+    one, two = scan.scores_of(plain, params), scan.scores_of(estate, params)
+    assert one.count() > 0 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_a_scan_of_one_database_is_its_row_of_the_whole_scan(estate):
+    whole, alone = scan.full_scan(estate, PARAMS), scan.full_scan(estate, PARAMS.with_(scope="d1"))
+    for mine, theirs in ((alone.composite, whole.composite), (alone.items, whole.items)):
+        got, want = mine.collect(), theirs.where("scope = 'D1'").collect()
+        assert got and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_absent_relations(spark):
     partial = Estate(spark, "/nowhere", absent=("tag_references",))
     assert "tag_references" not in partial and "tables" in partial
