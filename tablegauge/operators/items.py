@@ -39,10 +39,8 @@ def items_schema_gap(scores: DataFrame, params: ScanParams) -> DataFrame:
     described = schemas.select(
         "scope", "missed",
         F.concat_ws(".", "database_name", "schema_name").alias("target"),
-        F.concat(
-            grouped(F.col("reads")), F.lit(" reads across "), F.col("tables").cast("string"),
-            F.lit(" tables, "), F.col("cr_tables").cast("string"), F.lit(" CR"),
-        ).alias("detail"),
+        F.format_string(K.SCHEMA_DETAIL, grouped(F.col("reads")), "tables", "cr_tables")
+        .alias("detail"),
         F.concat(
             F.lit("Raise CR coverage: "), grouped(F.col("missed")),
             F.lit(" reads go to non-CR tables."),
@@ -59,11 +57,9 @@ def items_uncovered_cr(scores: DataFrame, quality: DataFrame, params: ScanParams
     described = scores.join(uncovered, list(SCOPED_KEY), "left_semi").select(
         "scope", "analytical_reads", "full_table_name",
         F.concat_ws(".", *TABLE_KEY).alias("target"),
-        F.concat(
-            grouped(F.col("analytical_reads")), F.lit(" reads, "),
-            F.col("distinct_users").cast("string"), F.lit(" distinct users"),
-        ).alias("detail"),
-        F.lit("Create a semantic view on this table.").alias("recommendation"),
+        F.format_string(K.TABLE_DETAIL, grouped(F.col("analytical_reads")), "distinct_users")
+        .alias("detail"),
+        F.lit("Describe this table in a semantic view.").alias("recommendation"),
     )
     order = [F.desc("analytical_reads"), F.col("target"), F.col("full_table_name")]
     return _items(described, "UNCOVERED_CR_TABLE", order, K.MAX_ITEMS)
@@ -82,8 +78,7 @@ def items_sv_quality(scores: DataFrame, quality: DataFrame, params: ScanParams)
     parts = F.slice(missing_parts(), 1, K.MAX_MISSING_PARTS)
     described = weak.select(
         "scope", "quality_score", F.col("sv_fqn").alias("target"),
-        F.concat(F.lit("Quality: "), whole(F.col("quality_score") * 100), F.lit("/100"))
-        .alias("detail"),
+        F.format_string(K.VIEW_DETAIL, whole(F.col("quality_score") * 100)).alias("detail"),
         F.when(F.size(parts) > 0, F.concat(F.lit("Add: "), F.array_join(parts, ", "), F.lit(".")))
         .otherwise("Enrich the view's metadata.").alias("recommendation"),
     )

@@ -38,6 +38,7 @@ class Check:
     needs: tuple[str, ...] = ("catalog_tables",)
 
 
+# Factors, requirements and their labels, in order.
 _T, _C, _K = "catalog_tables", "catalog_columns", "catalog_constraints"
 CHECKS = (
     Check("Clean", "data_completeness", "Data completeness (columns marked NOT NULL)",

@@ -316,7 +316,7 @@ STEPS: dict[str, str] = {
         database_name || '.' || schema_name || '.' || table_name as target,
         format('{{:,}}', analytical_reads) || ' reads, ' || distinct_users || ' distinct users'
             as detail,
-        'Create a semantic view on this table.' as recommendation, full_table_name
+        'Describe this table in a semantic view.' as recommendation, full_table_name
         from cr_rows where is_cr and (scope, {_PK}) not in (select (scope, {_PK}) from covered)""",
     "view_items": """select scope, 'SV_QUALITY_GAP' as item_type, quality_score as ord,
         sv_fqn as target,
