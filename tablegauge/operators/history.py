@@ -56,19 +56,21 @@ def _append(
     df: DataFrame, schema: T.StructType, path: str, key: list[str], partition: str | None = None
 ) -> None:
     rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    if _exists(df.sparkSession, path):
-        stored = df.sparkSession.read.schema(schema).parquet(path)
+    stored = _stored(df.sparkSession, schema, path)
+    if stored is not None:
         rows = rows.join(stored.select(*key), key, "left_anti").select(*schema.fieldNames())
     writer = rows.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _stored(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
+    """What a folder holds, or None before the first append. Any other failure is raised."""
     try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def load_runs(spark: SparkSession, folder: str) -> DataFrame:
