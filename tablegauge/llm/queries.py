@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import chat, html, mixing, packing, sharding
+from tablegauge.llm import chat, html, mixing, packing, secrets, sharding, toxicity
 from tablegauge.llm.common import table
 
 
@@ -21,12 +21,33 @@ def op3_ring_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.deal(table(spark, folder, "documents"), 40)
 
 
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    spans = secrets.scan(table(spark, folder, "documents")).withColumn(
+        "base", F.filter("spans", lambda s: s["kind"] != "format"))
+    return spans.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 #: A conversation of control strings, added to the table.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -77,7 +98,7 @@ from whole
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op5_source_mixing,
-    op8_chat_formatting,
+    op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op4_secret_scan,
+    op5_source_mixing, op6_toxicity, op8_chat_formatting,
 )}
 ORACLES = {"op8_chat_formatting": CHAT_SQL}
