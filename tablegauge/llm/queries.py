@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import chat, html, mixing, packing, secrets, sharding, toxicity
+from tablegauge.llm import chat, html, mixing, ngrams, packing, secrets, sharding, toxicity
 from tablegauge.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.join(table(spark, folder, "documents"), 3, 90)
+
+
 #: A conversation of control strings, added to the table.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -99,6 +103,7 @@ from whole
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op4_secret_scan,
-    op5_source_mixing, op6_toxicity, op8_chat_formatting,
+    op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join,
+    op8_chat_formatting,
 )}
 ORACLES = {"op8_chat_formatting": CHAT_SQL}
