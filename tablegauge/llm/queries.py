@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import chat, html, mixing, ngrams, packing, secrets, sharding, toxicity
+from tablegauge.llm import (
+    chat, html, mixing, ngrams, nndescent, packing, pivots, secrets, sharding, toxicity,
+)
 from tablegauge.llm.common import table
 
 
@@ -77,6 +79,15 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op9_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return nndescent.search(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_equal(table(spark, folder, "embeddings"), 0.95)
+
+
 def _escaped_sql(text: str) -> str:
     sql = f"replace({text}, '\\', '\\\\')"
     for control in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
@@ -104,6 +115,6 @@ from whole
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op4_secret_scan,
     op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join,
-    op8_chat_formatting,
+    op8_chat_formatting, op9_nn_descent, op10_embedding_near_dedup,
 )}
 ORACLES = {"op8_chat_formatting": CHAT_SQL}
