@@ -162,19 +162,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows alike in doc_id, source and text are dealt their copies together.
     """
-    key = ["_id", "_source", "_hash"]
+    names = ["__mix_id", "__mix_source", "__mix_hash"]
     copies = (
         mix(docs, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-                 F.col("text_hash").alias("_hash"))
-        .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-        .filter("_copies > 0")
+        .groupBy("doc_id", "source", "text_hash")
+        .agg(F.sum("copies").alias("__mix_copies"), F.count(F.lit(1)).alias("__mix_rows"))
+        .filter("__mix_copies > 0")
+        .withColumnsRenamed(dict(zip(["doc_id", "source", "text_hash"], names, strict=True)))
     )
     here = [F.col("doc_id").cast("long"), F.col("source").cast("string"), hashed(7, F.col("text"))]
-    left = docs.withColumns(dict(zip([f"{k}_" for k in key], here, strict=True)))
-    joined = left.join(copies, [left[f"{k}_"].eqNullSafe(copies[k]) for k in key])
-    once = joined.filter("_rows = 1")
-    alike = joined.filter("_rows > 1").dropDuplicates([f"{k}_" for k in key])
+    joined = docs.join(copies, [x.eqNullSafe(F.col(n)) for x, n in zip(here, names, strict=True)])
+    once = joined.filter("__mix_rows = 1")
+    alike = joined.filter("__mix_rows > 1").dropDuplicates(names)
     return once.unionByName(alike).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+        "__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
     ).select(*docs.columns)
