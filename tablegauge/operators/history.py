@@ -18,10 +18,11 @@ RUNS, ITEMS = "scan_runs", "scan_improvement_items"
 def run_rows(composite: DataFrame, params: ScanParams) -> DataFrame:
     """Composite rows (with top_targets) as rows of the run history.
 
-    The id follows from scope, time and sample, so repeating a scan repeats its id.
+    The id follows from the scope and all parameters, account and role included, so only
+    repeating a scan repeats its id.
     """
     sample = F.lit(params.sample_pct).cast("int")
-    run_id = F.md5(F.concat_ws("|", "scope", F.lit(params.as_of), sample))
+    run_id = F.md5(F.concat_ws("|", "scope", F.lit(repr(params))))
     return composite.select(
         run_id.alias("run_id"),
         F.lit(params.as_of).cast("timestamp").alias("run_ts"),
