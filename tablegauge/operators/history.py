@@ -83,9 +83,9 @@ def load_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history_runs(runs: DataFrame, scope: str | None = None) -> DataFrame:
-    """Runs of one scope, newest first. "All databases" means every run, whatever its scope."""
+    """Runs of one scope in either case, newest first. "All databases" means every run, whatever its scope."""
     if scope and scope != ALL_DATABASES:
-        runs = runs.where(F.col("database_filter") == scope)
+        runs = runs.where(F.upper("database_filter") == scope.upper())
     return runs.orderBy(F.desc("run_ts"), "run_id")
 
 
