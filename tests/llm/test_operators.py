@@ -331,6 +331,23 @@ def test_near_equal_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(len(x), len(x) + 6))
 
 
+def test_near_equal_vectors_of_a_large_group(spark):
+    import pandas as pd
+
+    n, d = 9_000, 64
+    random = np.random.default_rng(6)
+    x = random.standard_normal((n, d))
+    x[:n // 3] = x[0] + 0.2 * random.standard_normal((n // 3, d))  # cosines about 0.96
+    x = random.permutation(x).astype(np.float32)
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist()}),
+                                 "vec_id long, embedding array<float>")
+    got = pivots.near_equal(rows).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == linked.sum(axis=1) - 1).all()
+
+
 def test_nearest_neighbours(spark):
     x, rows = some_vectors()
     frame = spark.createDataFrame(rows, VECTORS)
