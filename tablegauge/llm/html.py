@@ -53,6 +53,24 @@ APART_WORDS = re.compile(
     r"gdpr|notices?|banners?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommended|recommendations|pagination|pager|"
     r"toolbar|search|form|copyright|disclaimer|skip|hidden|teasers?|outbrain|taboola)$")
+#: Words that name a part of an article's frame; with these before them they do not.
+MODIFIERS = frozenset("with without no non not has have show hide".split())
+#: Words after the one that tells what an element is.
+STRUCTURE = frozenset(
+    "area bar block body bottom box btn button buttons center col column container content "
+    "element group holder icons inner item items layout left link links list main module panel "
+    "placeholder posts right row section slot top unit widget wrap wrapper".split())
+#: Names that an article also has inside it, or with these words before them.
+OWN_WORDS = frozenset("header masthead discussion".split())
+OWN = frozenset("article content entry post story".split())
+#: Names that stay apart however much text they hold; others do not if they hold this share of
+#: the text whose paths score high.
+ALWAYS = re.compile(
+    r"^(?:ads?|adv|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|"
+    r"comments?|commentlist|disqus|respond|replies|reply|outbrain|taboola)$")
+MOST = 0.5
+#: Elements that may wrap a whole page although their tag sets them apart.
+WRAPPERS = frozenset("form aside header dialog".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？\"'()«»„“”‘’")
 ROOTS = ("article", "main")
 
@@ -68,11 +86,12 @@ HELD = 0.9
 
 
 class Element:
-    __slots__ = ("tag", "step", "parent", "apart", "depth", "root")
+    __slots__ = ("tag", "step", "parent", "apart", "doubtful", "depth", "root")
 
-    def __init__(self, tag: str, step: str, parent: Element | None, apart: bool):
+    def __init__(self, tag: str, step: str, parent: Element | None, apart: str):
         self.tag, self.step, self.parent = tag, step, parent
-        self.apart = apart or (parent is not None and parent.apart)
+        self.apart = apart == "always" or (parent is not None and parent.apart)
+        self.doubtful = apart == "doubtful"
         self.depth = parent.depth + 1 if parent else 0
 
     def path(self) -> tuple[str, ...]:
@@ -90,30 +109,46 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _apart(tag: str, attributes: dict[str, str], parent: Element | None) -> bool:
-    """Whether an element is never part of an article."""
-    if tag in APART_TAGS or "hidden" in attributes:
-        return True
+def _named_apart(name: str, inside: bool) -> str:
+    """Whether one class name or id names a part that is not the article's."""
+    words = [w.lower() for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name))]
+    while len(words) > 1 and words[-1] in STRUCTURE and not APART_WORDS.match(words[-1]):
+        words.pop()
+    if not words or not APART_WORDS.match(words[-1]) or MODIFIERS.intersection(words[:-1]):
+        return ""
+    if words[-1] in OWN_WORDS and (inside or OWN.intersection(words[:-1])):
+        return ""
+    return "always" if ALWAYS.match(words[-1]) else "doubtful"
+
+
+def _apart(tag: str, attributes: dict[str, str], parent: Element | None) -> str:
+    """Whether an element is never part of an article (always), not unless it holds most of the
+    text (doubtful), or may be (empty)."""
+    if "hidden" in attributes or (tag in APART_TAGS and tag not in WRAPPERS):
+        return "always"
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    if attributes.get("aria-hidden", "").lower() == "true":
+        return "always"
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+        return "always"
     inside = parent
     while inside is not None and inside.tag not in ROOTS:
         inside = inside.parent
-    if tag == "header" and inside is None:  # an article's own header holds its title
-        return True
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    found = {_named_apart(name, inside is not None) for name in names}
+    if "always" in found:
+        return "always"
+    if tag in APART_TAGS or (tag == "header" and inside is None):  # its own holds its title
+        return "doubtful"
     if attributes.get("role", "").strip().lower() in APART_ROLES:
-        return True
-    if attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return any(APART_WORDS.match(word.lower()) for word in WORD.findall(names))
+        return "doubtful"
+    return "doubtful" if "doubtful" in found else ""
 
 
 def blocks(html: str) -> list[tuple[Element, str, int]]:
     """Blocks of text in page order: the element, the text, the length of link text in it."""
-    top = Element("#", "#", None, False)
+    top = Element("#", "#", None, "")
     at, found = top, []
     parts: list[str] = []
     linked = links = 0
@@ -185,7 +220,7 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             if tag == "br":
                 parts.append(" ")
             elif tag not in VOID:
-                inlines.append((tag, _apart(tag, attributes, at)))
+                inlines.append((tag, bool(_apart(tag, attributes, at))))
                 links += tag == "a"
             continue
         if tag in ("html", "body") and any(
@@ -259,6 +294,29 @@ def path_scores(found: list[tuple[Element, str, int]]) -> dict[tuple[str, ...],
     return scores
 
 
+def _kept(found: list[tuple[Element, str, int]], high: set[int]) -> list[int]:
+    """Places of the blocks that are under no element set apart.
+
+    A doubtful element with most of the high-scoring text is not set apart; on a page with a
+    marked article, only if it is around or inside one.
+    """
+    marked = {id(e) for b in found for r in _lineage(b[0]) if r.tag in ROOTS
+              for e in _lineage(r)}
+    held: Counter = Counter()
+    for i in high:
+        for e in _lineage(found[i][0]):
+            held[id(e)] += len(found[i][1])
+    total = sum(len(found[i][1]) for i in high)
+
+    def apart(e: Element) -> bool:
+        if not e.doubtful:
+            return False
+        near = not marked or id(e) in marked or any(x.tag in ROOTS for x in _lineage(e))
+        return not (near and held[id(e)] >= MOST * total > 0)
+
+    return [i for i, b in enumerate(found) if not any(apart(e) for e in _lineage(b[0]))]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one per line; empty if the page has none."""
     found = [b for b in blocks(html or "") if not b[0].apart]
@@ -269,11 +327,18 @@ def main_text(html: str | None) -> str:
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     least = min(mean, THRESHOLD * spread) if spread else 0.0
+    high = {i for i, b in enumerate(found) if scores[b[0].path()] >= least}
+    kept = _kept(found, high)
+    if not kept:
+        return ""
+    if not high.intersection(kept):
+        high = set(kept)
     held: defaultdict[int, int] = defaultdict(int)
     elements: dict[int, Element] = {}
     total = 0
-    for element, text, link in found:
-        if scores[element.path()] >= least:
+    for i in kept:
+        if i in high:
+            element, text, _ = found[i]
             total += len(text)
             for e in _lineage(element):
                 held[id(e)] += len(text)
@@ -283,12 +348,12 @@ def main_text(html: str | None) -> str:
         if sum(held[i] for i, e in elements.items() if e.tag == tag
                and not any(x.tag == tag for x in _lineage(e.parent))) >= total / 2 > 0:
             return "\n".join(
-                text for e, text, _ in found if any(x.tag == tag for x in _lineage(e)))
+                found[i][1] for i in kept if any(x.tag == tag for x in _lineage(found[i][0])))
     root = max(
         (e for i, e in elements.items() if held[i] >= HELD * total), key=lambda e: e.depth)
     if root.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") and root.parent:
         root = root.parent
-    return "\n".join(text for e, text, _ in found if any(x is root for x in _lineage(e)))
+    return "\n".join(found[i][1] for i in kept if any(x is root for x in _lineage(found[i][0])))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -96,6 +96,21 @@ def test_html_keeps_the_article_only(spark):
     assert [r["text"] for r in html.extract(rows).collect()] == ["", "", "plain text", ""]
 
 
+@pytest.mark.parametrize("open_tag, head", [
+    ('<div class="content with-sidebar">', "<h1>Title</h1>"),
+    ('<div id="content" class="no-sidebar">', "<h1>Title</h1>"),
+    ('<div class="sidebar-right">', "<h1>Title</h1>"), ('<form id="page">', "<h1>Title</h1>"),
+    ('<div class="search-results-study">', "<h1>Title</h1>"),
+    ("<article>", '<div class="article-header"><h1>Title</h1></div>')])
+def test_html_names_of_layout_keep_the_article(open_tag, head):
+    said = "A sentence of the article, long enough to count; and it goes on for a while."
+    tag = re.match(r"<(\w+)", open_tag)[1]
+    page = (f"<body><div class='sidebar'><a href=x>link</a></div>{open_tag}{head}"
+            f"<p>{said}</p><p>{said}</p><div class='comments'><p>{said}</p></div>"
+            f"<div class='share-buttons'>Share this</div></{tag}></body>")
+    assert html.main_text(page) == f"Title\n{said}\n{said}"
+
+
 def test_html_of_the_pages_is_their_article(spark):
     for row in spark.read.parquet(f"{SMALL}/pages.parquet").limit(80).collect():
         article = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
