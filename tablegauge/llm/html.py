@@ -4,7 +4,8 @@ Every block of text has the path of tags that leads to it from the root. Over a
 text length, punctuation, link text and number of nodes of each path are summed; length and
 punctuation ratios of a path are smoothed with those of similar paths, fused into one score and
 held against a threshold. The deepest element that holds nearly all text of the paths
-over the threshold is the article; its blocks are the result, without those under elements
+over the threshold is the article; its blocks are the result, with every other block whose path
+is over the threshold and the headings beside them, without those under elements
 that are never part of an article (menus, forms, notices, adverts, comments and the like).
 """
 
@@ -73,6 +74,10 @@ MOST = 0.5
 WRAPPERS = frozenset("form aside header dialog".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？\"'()«»„“”‘’")
 ROOTS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of an article, never all of it.
+PARTS = HEADINGS | frozenset(
+    "p li ul ol dl dt dd table thead tbody tfoot tr td th blockquote pre figure section".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
@@ -351,9 +356,24 @@ def main_text(html: str | None) -> str:
                 found[i][1] for i in kept if any(x.tag == tag for x in _lineage(found[i][0])))
     root = max(
         (e for i, e in elements.items() if held[i] >= HELD * total), key=lambda e: e.depth)
-    if root.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td") and root.parent:
+    while root.tag in PARTS and root.parent:
         root = root.parent
-    return "\n".join(found[i][1] for i in kept if any(x is root for x in _lineage(found[i][0])))
+    # The lowest element around all of them; headings beside the article are in it or next to it.
+    whole = root
+    for i in high.intersection(kept):
+        line = {id(e) for e in _lineage(found[i][0])}
+        while id(whole) not in line:
+            whole = whole.parent
+    beside = {id(whole), id(root.parent)}
+
+    def chosen(i: int) -> bool:
+        element = found[i][0]
+        if i in high or any(x is root for x in _lineage(element)):
+            return True
+        return element.tag in HEADINGS and any(
+            id(e) in beside for e in (element.parent, element.parent.parent))
+
+    return "\n".join(found[i][1] for i in kept if chosen(i))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -111,6 +111,15 @@ def test_html_names_of_layout_keep_the_article(open_tag, head):
     assert html.main_text(page) == f"Title\n{said}\n{said}"
 
 
+@pytest.mark.parametrize("box", ["div class=body", "ul", "blockquote", "section"])
+def test_html_keeps_what_stands_beside_the_long_part(box):
+    said = "A sentence of the article, long enough to count; and it goes on for a while."
+    tag, inner = box.split()[0], "li" if box == "ul" else "p"
+    page = (f"<body><div class=top><a href=x>home</a></div><div class=post><h1>Title</h1>"
+            f"<p>{said}</p><{box}>" + f"<{inner}>{said}</{inner}>" * 20 + f"</{tag}></div></body>")
+    assert html.main_text(page) == "\n".join(["Title", *[said] * 21])
+
+
 def test_html_of_the_pages_is_their_article(spark):
     for row in spark.read.parquet(f"{SMALL}/pages.parquet").limit(80).collect():
         article = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
