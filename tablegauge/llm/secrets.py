@@ -31,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: The shortest value of an assignment, and the shortest run that is scored.
 VALUE = 12
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{VALUE},}}")
 #: Strings per kind that an automaton is learnt from, as many again to set its threshold.
 SAMPLE = 400
 #: Error level of the test that two states are alike.
@@ -58,9 +58,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def runs(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Long runs of credential characters that no rule has found."""
-    found = [m.span() for m in RUN.finditer(text)]
-    return [(a, b) for a, b in found if not any(a < e and s < b for _, s, e in spans)]
+    """Long runs of credential characters that no rule has found, without full stops around.
+
+    What a rule has found cuts a run; the parts beside it count if they are long enough.
+    """
+    found = []
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        for a, b in [*sorted((a, b) for _, a, b in spans if a < end and at < b), (end, end)]:
+            if a - at >= VALUE:
+                part = text[at:a]
+                start = at + len(part) - len(part.lstrip("."))
+                stop = at + len(part.rstrip("."))
+                if stop - start >= VALUE:
+                    found.append((start, stop))
+            at = max(at, b)
+    return found
 
 
 # ---- automata ------------------------------------------------------------------------------

@@ -159,6 +159,12 @@ def test_secret_spans_of_the_rules():
         ("hex", "0123456789abcdef0")]
 
 
+def test_secret_candidates_are_as_long_as_labelled_values():
+    text = "Use sk.aB3dE5gH7jK. or Zx81Kq02Lm9P, not short.one; AKIA" + "A1" * 8 + ".Zx81Kq02Lm9Q..."
+    found = secrets.runs(text, secrets.base_spans(text))
+    assert [text[a:b] for a, b in found] == ["sk.aB3dE5gH7jK", "Zx81Kq02Lm9P", "Zx81Kq02Lm9Q"]
+
+
 def test_automata_tell_formats():
     random = np.random.default_rng(1)
     keys = ["sk-" + "".join(random.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789"), 32))
