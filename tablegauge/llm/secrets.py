@@ -4,7 +4,7 @@ Method: grammar inference. The strings that the rules find are labelled credenti
 bounded sample of them becomes a prefix tree; states whose continuations are statistically
 alike are merged until a small probabilistic automaton is left. Every other long run of
 credential characters of the corpus is then scored by its likelihood under each automaton and
-under one learnt from the runs of ordinary text; likely ones are spans of kind ``format``.
+under one learnt from the runs of ordinary text, which repeat where credentials do not; likely ones are spans of kind ``format``.
 
 The corpus is read once: rules and candidates of a text are found together and stored.
 """
@@ -34,6 +34,8 @@ VALUE = 12
 RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{VALUE},}}")
 #: Strings per kind that an automaton is learnt from, as many again to set its threshold.
 SAMPLE = 400
+#: An ordinary run counts once for each text that it is in, up to so many times.
+WEIGHT = 10
 #: Error level of the test that two states are alike.
 ALPHA = 0.05
 #: A run must be as likely as all but this share of the credentials, and clearly more likely
@@ -250,10 +252,26 @@ def _sample(found: DataFrame, column: str, kind: str) -> list[str]:
     return [r["text"] for r in rows]
 
 
+def _ordinary(found: DataFrame) -> list[str]:
+    """The candidate runs of most texts, each as often as its texts, up to a weight.
+
+    Words repeat and credentials hardly do, so runs of a single text are left out unless
+    too few others are there to learn from.
+    """
+    rows = (
+        found.select(F.explode(F.array_distinct(F.transform("runs", lambda r: r["text"])))
+                     .alias("text"))
+        .groupBy("text").agg(F.count(F.lit(1)).alias("texts"))
+        .orderBy(F.desc("texts"), hashed(23, F.col("text")), "text").limit(SAMPLE).collect())
+    often = [r for r in rows if r["texts"] > 1]
+    return [r["text"] for r in (often if len(often) >= 8 else rows)
+            for _ in range(min(WEIGHT, r["texts"]))]
+
+
 def learnt(found: DataFrame) -> Formats:
     """Automata from bounded samples of what the rules found, and of the other runs."""
     credentials = {kind: _sample(found, "spans", kind) for kind in KINDS[:3]}
-    return learn(credentials, _sample(found, "runs", "format")[:SAMPLE])
+    return learn(credentials, _ordinary(found))
 
 
 def scan(docs: DataFrame) -> DataFrame:

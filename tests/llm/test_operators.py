@@ -176,6 +176,21 @@ def test_automata_tell_formats():
     assert len(formats.kinds["key"][0].states) < 60  # merged, not the prefix tree
 
 
+def test_unlabelled_credentials_are_not_ordinary(spark):
+    random = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["sk-" + "".join(random.choice(letters, 30)) for _ in range(300)]
+    words = [a + b + c for a in ("inter", "counter", "under") for b in ("nation", "develop", "manage")
+             for c in ("alisation", "ability", "mental")]
+    rows = [(i, f"{words[i % 27]} and {words[i * 7 % 27]} "
+                + (f"token={k}" if i < 100 else f"see {k} here")) for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [rows[r["doc_id"]][1][s["start"]:s["end"]] for s in r["spans"]
+                         if s["kind"] == "format"] for r in secrets.scan(frame).collect()}
+    assert not any(got[i] for i in range(100))
+    assert np.mean([got[i] == [keys[i]] for i in range(100, 300)]) > 0.9
+
+
 def test_secret_scan_equals_the_rules(docs, odd):
     for frame in (docs, odd):
         texts = Counter((r["doc_id"], str(secrets.base_spans(r["text"] or ""))) for r in frame.collect())
