@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm import (
-    chat, html, mixing, ngrams, nndescent, packing, pivots, secrets, sharding, toxicity,
+    chat, html, merkle, mixing, ngrams, nndescent, packing, pivots, secrets, sharding, survival,
+    toxicity,
 )
+from tablegauge.llm.audit_sql import AUDIT_SQL, MERKLE_SQL
 from tablegauge.llm.common import table
 
 
@@ -88,6 +90,14 @@ def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_equal(table(spark, folder, "embeddings"), 0.95)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audited(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return survival.audit(*(table(spark, folder, name) for name in ("documents", "labels")))
+
+
 def _escaped_sql(text: str) -> str:
     sql = f"replace({text}, '\\', '\\\\')"
     for control in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
@@ -116,5 +126,9 @@ QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op4_secret_scan,
     op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join,
     op8_chat_formatting, op9_nn_descent, op10_embedding_near_dedup,
+    op11_merkle_manifest, op12_filter_audit,
 )}
-ORACLES = {"op8_chat_formatting": CHAT_SQL}
+ORACLES = {
+    "op8_chat_formatting": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL,
+    "op12_filter_audit": AUDIT_SQL,
+}
