@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm import (
-    chat, html, merkle, mixing, ngrams, nndescent, packing, pivots, secrets, sharding, survival,
-    toxicity,
+    chat, html, merkle, mixing, ngrams, nndescent, outliers, packing, pivots, secrets, sharding,
+    survival, toxicity,
 )
 from tablegauge.llm.audit_sql import AUDIT_SQL, MERKLE_SQL
 from tablegauge.llm.common import table
@@ -98,6 +98,12 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return survival.audit(*(table(spark, folder, name) for name in ("documents", "labels")))
 
 
+def op13_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "distance")
+
+
 def _escaped_sql(text: str) -> str:
     sql = f"replace({text}, '\\', '\\\\')"
     for control in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
@@ -126,7 +132,7 @@ QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_ring_sharding, op4_secret_scan,
     op5_source_mixing, op6_toxicity, op7_ngram_jaccard_join,
     op8_chat_formatting, op9_nn_descent, op10_embedding_near_dedup,
-    op11_merkle_manifest, op12_filter_audit,
+    op11_merkle_manifest, op12_filter_audit, op13_quality_outliers,
 )}
 ORACLES = {
     "op8_chat_formatting": CHAT_SQL, "op11_merkle_manifest": MERKLE_SQL,
