@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablegauge.constants import BI_EXACT_NAMES, BI_HOSTED_PATTERNS, BI_NAME_FRAGMENTS
+from tablegauge.constants import BI_EXACT_NAMES, BI_NAME_FRAGMENTS
 
 
 def application_name(client_environment: str = "client_environment") -> Column:
@@ -13,9 +15,13 @@ def application_name(client_environment: str = "client_environment") -> Column:
     return F.get_json_object(client_environment, "$.APPLICATION")
 
 
-def bi_flag(application: str = "application_name") -> Column:
-    """1 for a BI tool or dashboard, NULL for anything else, so that count() counts them."""
-    patterns = [f"%{fragment}%" for fragment in BI_NAME_FRAGMENTS] + list(BI_HOSTED_PATTERNS)
-    quoted = ", ".join(f"r'{pattern}'" for pattern in patterns)
-    is_bi = F.expr(f"{application} ilike any ({quoted})")
-    return F.when(is_bi | F.col(application).isin(*BI_EXACT_NAMES), F.lit(1))
+def bi_flag(hosted: tuple[str, ...] = (), application: str = "application_name") -> Column:
+    """1 for a BI tool or dashboard, NULL for anything else, so that count() counts them.
+
+    ``hosted`` are whole names of the platform's own dashboards, in any letter case, with % and _
+    as wildcards.
+    """
+    fragments = ", ".join(f"'%{fragment}%'" for fragment in BI_NAME_FRAGMENTS)
+    name = F.col(application)
+    known = F.expr(f"{application} ilike any ({fragments})") | name.isin(*BI_EXACT_NAMES)
+    return F.when(reduce(Column.__or__, map(name.ilike, hosted), known), F.lit(1))

@@ -1,7 +1,20 @@
-"""Run history: append-only runs and items, read back by scope and over time."""
+"""Run history: append-only runs and items, read back by scope and over time.
+
+Every call that saves a scan has an id of its own. It writes its items and runs into partitions
+of that id and of the attempt, and then a commit, a table of one row, which makes both visible
+at once. Readers take the rows of each call's first committed attempt and nothing else, so
+
+- writers at the same time never touch each other's files, and need no lock;
+- an attempt that failed half way is never seen;
+- a call repeated under its id adds nothing, even while the first is still running;
+- a call under another id always adds a run, whatever its parameters and result.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,24 +25,23 @@ from tablegauge.operators.composite import recommendation_text
 from tablegauge.params import ALL_DATABASES, ScanParams
 from tablegauge.sources.schemas import SCAN_IMPROVEMENT_ITEMS, SCAN_RUNS
 
-RUNS, ITEMS = "scan_runs", "scan_improvement_items"
+RUNS, ITEMS, COMMITS = "scan_runs", "scan_improvement_items", "commits"
+#: Partition columns of both tables, and columns of a commit.
+CALL = "call_id string, attempt string"
 
 
-def run_rows(composite: DataFrame, params: ScanParams) -> DataFrame:
+def run_rows(composite: DataFrame, params: ScanParams, call_id: str) -> DataFrame:
     """Composite rows (with top_targets) as rows of the run history.
 
-    The id follows from the scope and all parameters, account and role included, so only
-    repeating a scan repeats its id.
+    A run's id follows from the saving call and the scope.
     """
-    sample = F.lit(params.sample_pct).cast("int")
-    run_id = F.md5(F.concat_ws("|", "scope", F.lit(repr(params))))
     return composite.select(
-        run_id.alias("run_id"),
+        F.md5(F.concat_ws("|", F.lit(call_id), "scope")).alias("run_id"),
         F.lit(params.as_of).cast("timestamp").alias("run_ts"),
         F.lit(params.account_name).alias("account_name"),
         F.lit(params.role_name).alias("role_name"),
         F.col("scope").alias("database_filter"),
-        sample.alias("sample_pct"),
+        F.lit(params.sample_pct).cast("int").alias("sample_pct"),
         "ai_readiness", "demand_coverage", "sv_readiness", "sv_coverage", "sv_quality",
         "n_cr_tables", "gap",
         recommendation_text(params.account_name).alias("recommendation_text"),
@@ -44,42 +56,62 @@ def item_rows(items: DataFrame, runs: DataFrame) -> DataFrame:
     return items.join(ids, "scope").select(*SCAN_IMPROVEMENT_ITEMS.fieldNames())
 
 
-def append_history(runs: DataFrame, items: DataFrame, folder: str) -> None:
-    """Append runs and items. Runs already stored are skipped, so a retry adds nothing.
+def append_history(runs: DataFrame, items: DataFrame, folder: str, call_id: str) -> bool:
+    """Append the runs and items of one call; False if the call had been committed before.
 
-    Items go first: a run is only visible once its items are.
+    ``call_id`` becomes a folder name: letters, digits, - and _.
     """
-    _append(items, SCAN_IMPROVEMENT_ITEMS, f"{folder}/{ITEMS}", ["run_id", "item_rank"])
-    _append(runs, SCAN_RUNS, f"{folder}/{RUNS}", ["run_id"], partition="database_filter")
-
-
-def _append(
-    df: DataFrame, schema: T.StructType, path: str, key: list[str], partition: str | None = None
-) -> None:
-    rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    stored = _stored(df.sparkSession, schema, path)
-    if stored is not None:
-        rows = rows.join(stored.select(*key), key, "left_anti").select(*schema.fieldNames())
-    writer = rows.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-
-def _stored(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
-    """What a folder holds, or None before the first append. Any other failure is raised."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", call_id):
+        raise ValueError(f"not a call id: {call_id!r}")
+    spark = runs.sparkSession
+    if not _load(spark, f"{folder}/{COMMITS}/call_id={call_id}", "attempt string").isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    for rows, schema, table in ((items, SCAN_IMPROVEMENT_ITEMS, ITEMS), (runs, SCAN_RUNS, RUNS)):
+        kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        rows.select(*kept).write.parquet(
+            f"{folder}/{table}/call_id={call_id}/attempt={attempt}")
+    # One row, so one file, which a single rename or upload puts in place.
+    commit = spark.range(1).coalesce(1).select(F.current_timestamp().alias("committed_at"))
+    commit.write.parquet(f"{folder}/{COMMITS}/call_id={call_id}/attempt={attempt}")
+    return True
+
+
+def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a folder holds; nothing before the first write. Any other failure is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return spark.createDataFrame([], schema)
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """The attempt that counts of every call: the first that was committed."""
+    done = _load(spark, f"{folder}/{COMMITS}", f"committed_at timestamp, {CALL}")
+    return done.groupBy("call_id").agg(
+        F.min_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+
+
+def _committed(
+    spark: SparkSession, folder: str, table: str, schema: T.StructType, call_id: str | None
+) -> DataFrame:
+    found = _load(spark, f"{folder}/{table}", f"{schema.toDDL()}, {CALL}")
+    valid = commits(spark, folder)
+    if call_id is not None:  # read this call's partition only
+        found, valid = (df.where(F.col("call_id") == call_id) for df in (found, valid))
+    return found.join(valid, ["call_id", "attempt"]).select(*schema.fieldNames())
 
 
-def load_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SCAN_RUNS).parquet(f"{folder}/{RUNS}")
+def load_runs(spark: SparkSession, folder: str, call_id: str | None = None) -> DataFrame:
+    """All committed runs, or those of one call."""
+    return _committed(spark, folder, RUNS, SCAN_RUNS, call_id)
 
 
-def load_items(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SCAN_IMPROVEMENT_ITEMS).parquet(f"{folder}/{ITEMS}")
+def load_items(spark: SparkSession, folder: str, call_id: str | None = None) -> DataFrame:
+    """All committed items, or those of one call."""
+    return _committed(spark, folder, ITEMS, SCAN_IMPROVEMENT_ITEMS, call_id)
 
 
 def history_runs(runs: DataFrame, scope: str | None = None) -> DataFrame:

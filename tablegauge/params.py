@@ -42,6 +42,13 @@ class ScanParams:
         ("TABLEGAUGE", "PUBLIC", "SCAN_RUNS"),
         ("TABLEGAUGE", "PUBLIC", "SCAN_IMPROVEMENT_ITEMS"),
     )
+    #: Whole client names, in any letter case, under which the platform's own web application
+    #: and command line run dashboards; % and _ are wildcards, a backslash makes them literal.
+    #: They are BI clients beside the tools known by name. The names are the platform's, so the
+    #: caller gives them; without any, such dashboards are not counted as BI reads.
+    hosted_clients: tuple[str, ...] = ()
+    #: Queries from which on a session is spread over several tasks.
+    hot_queries: int = 10_000
     account_name: str = "account"
     role_name: str = "role"
 

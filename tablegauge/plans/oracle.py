@@ -46,7 +46,6 @@ def _member(flag: str, kind: str, gone: str) -> str:
 
 _LIKES = " or ".join(
     [f"lower(application_name) like '%{f.lower()}%'" for f in K.BI_NAME_FRAGMENTS]
-    + [f"lower(application_name) like '{p}' escape '\\'" for p in K.BI_HOSTED_PATTERNS]
     + [f"application_name = '{n}'" for n in K.BI_EXACT_NAMES]
 )
 _PK = "database_name, schema_name, table_name"
@@ -430,15 +429,21 @@ def _refers_to(text: str) -> list[str]:
     return [name for name in dict.fromkeys(names) if name in STEPS]
 
 
-def sql(query: str) -> str:
-    """The query with every step it needs in front of it, each after the ones it reads."""
+def sql(query: str, **limits: str) -> str:
+    """The query with every step it needs in front of it, each after the ones it reads.
+
+    ``limits`` gives conditions that rows of a step must meet besides.
+    """
     ordered: dict[str, str] = {}
 
     def place(text: str) -> None:
         for name in _refers_to(text):
             if name not in ordered:
                 place(STEPS[name])
-                ordered[name] = f"{name} as ({STEPS[name]})"
+                step = STEPS[name]
+                if name in limits:
+                    step = f"select * from ({step}) where {limits[name]}"
+                ordered[name] = f"{name} as ({step})"
 
     place(query)
     return f"with {', '.join(ordered.values())} {query}" if ordered else query
@@ -548,6 +553,34 @@ _SV = """sv_fqn, {} has_pk, has_synonyms, has_unique_keys, has_distinct_ranges,
 _SAMPLE = "cast('0x' || substr(md5(query_id), 1, 8) as bigint) % 100 < 30"
 
 
+def _both(*queries: str) -> str:
+    return " union all ".join(f"select * from ({query})" for query in queries)
+
+
+_PER_TABLE = f"""select {_PK}, full_table_name, analytical_reads, distinct_users, app_reads,
+    distinct_app_tools, round(p50_execution_ms, 6) as p50_execution_ms,
+    cast({{}} as integer) as sample_pct from per_table"""
+
+
+def _saved(call: str, account: str, role: str = "role", where: str = "true", **limits) -> str:
+    """Runs that a call has saved."""
+    return sql(f"""select md5('{call}|' || scope) as run_id, {NOW} as run_ts,
+        '{account}' as account_name, '{role}' as role_name, scope as database_filter,
+        cast(null as integer) as sample_pct, ai_readiness, demand_coverage, sv_readiness,
+        sv_coverage, sv_quality, n_cr_tables, gap,
+        '{account}' || substr({_summary()}, 8) as recommendation_text, n_all_scored, n_sv,
+        n_sv_covered, cast(null as varchar) as report_html_path
+        from composite join targets using (scope) where {where}""", **limits)
+
+
+def _saved_items(call: str, where: str = "true", **limits) -> str:
+    return sql(f"""select md5('{call}|' || scope) as run_id, item_rank, item_type, target, detail,
+        recommendation from all_items where {where}""", **limits)
+
+
+_ONE, _BARE = "scope = 'D1'", {"semantic_views": "false"}
+
+
 def check_key(requirement: str) -> str:
     """Name of the query of a requirement."""
     return f"check_{requirement.removesuffix('_declaration')}"
@@ -559,6 +592,20 @@ def _each_table(select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    whole = {
+        "cr_scores_stored": sql("select * from cr"),
+        "reads_per_table_from_facts": _both(
+            sql(_PER_TABLE.format("null")),
+            sql(_PER_TABLE.format(30), accesses=f"{_SAMPLE} and database_name = 'D1'")),
+        "p50_latency_from_facts": sql(f"""select {_PK}, full_table_name,
+            round(p50_execution_ms, 6) as p50_execution_ms from per_table"""),
+        "scan_save": _both(
+            _saved("call-1", "first"), _saved("call-2", "second"),
+            _saved("call-3", "account", "analyst", _ONE), _saved("call-4", "first", **_BARE)),
+        "scan_save_items": _both(
+            _saved_items("call-1"), _saved_items("call-2"), _saved_items("call-3", _ONE),
+            _saved_items("call-4", **_BARE)),
+    }
     queries = {
         # reads
         "access_flatten": f"select {_PK}, full_table_name, query_id, user_name from accesses",
@@ -718,4 +765,4 @@ def oracle_sql() -> dict[str, str]:
             " case when count(*) >= 1000 then 10 when count(*) >= 100 then 6 else 3 end as n_probes"
             " from {table}"),
     }
-    return {name: sql(query) for name, query in queries.items()}
+    return whole | {name: sql(query) for name, query in queries.items()}

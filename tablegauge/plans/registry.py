@@ -21,7 +21,11 @@ from tablegauge.params import ScanParams
 from tablegauge.plans import scan
 from tablegauge.plans.oracle import SOURCES, check_key
 from tablegauge.session import settle, shared_folder
+from tablegauge.sources import stored_logs
 from tablegauge.sources.derived import AS_OF, DerivedEstate
+from tablegauge.sources.relations import Estate, write_log
+from tablegauge.sources.schemas import INPUTS, LOG_TIMES
+from tablegauge.streaming import daily_facts
 
 PARAMS = ScanParams(AS_OF)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +103,7 @@ def json_app(e):
 
 @query
 def bi_classifier(e):
-    return reads.session_apps(e["sessions"])
+    return reads.session_apps(e["sessions"], PARAMS)
 
 
 @query
@@ -160,6 +164,58 @@ def cr_tables(e):
     return consumption.cr_tables(scan.scores_of(e, PARAMS), PARAMS)
 
 
+# ---- stored logs and facts ---------------------------------------------------------------
+
+#: Buckets of the stored logs; a cluster takes some two per core.
+BUCKETS = 4
+
+
+@query
+def cr_scores_stored(e):
+    """The scores from logs laid out by date and query id."""
+    root = f"{shared_folder(e.spark)}/logs-{uuid.uuid4().hex}"
+    for name in LOG_TIMES:
+        stored_logs.append_log(e[name], root, name, BUCKETS)
+    kept = stored_logs.StoredEstate(e.spark, root, BUCKETS)
+    return scan.scores_of({**e, **{name: kept[name] for name in LOG_TIMES}}, PARAMS)
+
+
+def _kept_facts(e: DerivedEstate, *shapes: ScanParams) -> str:
+    """Facts of logs of which every third row, by its key, came after a first count."""
+    root = f"{shared_folder(e.spark)}/facts-{uuid.uuid4().hex}"
+    keys = {"access_history": "query_id", "query_history": "query_id", "sessions": "session_id"}
+    for late in (False, True):
+        for name, key in keys.items():
+            third = F.pmod(F.xxhash64(key, F.lit(name)), F.lit(3)) == 0
+            rows = e[name].where(third if late else ~third)
+            if name in LOG_TIMES:
+                write_log(rows, LOG_TIMES[name], f"{root}/{name}")
+            else:
+                rows.write.mode("append").parquet(f"{root}/{name}")
+        for params in shapes:
+            streams = {name: e.spark.readStream.schema(INPUTS[name]).parquet(f"{root}/{name}")
+                       for name in keys}
+            daily_facts.keep_daily_facts(
+                streams, lambda: Estate(e.spark, root), f"{root}/kept", params).awaitTermination()
+    return f"{root}/kept"
+
+
+@query
+def reads_per_table_from_facts(e):
+    """Counts and medians of two scans with their own facts, from facts alone."""
+    shapes = PARAMS, PARAMS.with_(sample_pct=30, scope="D1")
+    folder = _kept_facts(e, *shapes)
+    return reduce(DataFrame.unionByName, [
+        rounded(daily_facts.reads_per_table(e.spark, folder, params), "p50_execution_ms")
+        .withColumn("sample_pct", F.lit(params.sample_pct).cast("int")) for params in shapes])
+
+
+@query
+def p50_latency_from_facts(e):
+    per_table = daily_facts.reads_per_table(e.spark, _kept_facts(e, PARAMS), PARAMS)
+    return rounded(per_table.select(*reads.READ_KEY, "p50_execution_ms"), "p50_execution_ms")
+
+
 # ---- semantic views ----------------------------------------------------------------------
 
 def _members(e: DerivedEstate) -> DataFrame:
@@ -384,7 +440,7 @@ def six_factor_detail(e):
 def _stored_history(e: DerivedEstate) -> str:
     """A new folder in the shared one to which all runs and items have been appended."""
     folder = f"{shared_folder(e.spark)}/history-{uuid.uuid4().hex}"
-    history.append_history(e["scan_runs"], e["scan_improvement_items"], folder)
+    history.append_history(e["scan_runs"], e["scan_improvement_items"], folder, "import")
     return folder
 
 
@@ -399,6 +455,31 @@ def history_items_append(e):
     return history.load_items(e.spark, _stored_history(e))
 
 
+def _saved_scans(e: DerivedEstate) -> str:
+    """A new history: two accounts, one database, a scan without views at the same time, a retry."""
+    folder = f"{shared_folder(e.spark)}/saved-{uuid.uuid4().hex}"
+    whole, one = scan.full_scan(e, PARAMS), PARAMS.with_(scope="D1", role_name="analyst")
+    bare = {**e, "semantic_views": e["semantic_views"].where("false")}
+    scan.save_scan(whole, folder, PARAMS.with_(account_name="first"), "call-1")
+    scan.save_scan(whole, folder, PARAMS.with_(account_name="second"), "call-2")
+    scan.save_scan(scan.full_scan(e, one), folder, one, "call-3")
+    later = scan.full_scan(bare, PARAMS)
+    scan.save_scan(later, folder, PARAMS.with_(account_name="first"), "call-4")
+    scan.save_scan(later, folder, PARAMS.with_(account_name="first"), "call-1")
+    return folder
+
+
+@query
+def scan_save(e):
+    runs = history.load_runs(e.spark, _saved_scans(e))
+    return runs.withColumn("run_ts", F.col("run_ts").cast("timestamp_ntz"))
+
+
+@query
+def scan_save_items(e):
+    return history.load_items(e.spark, _saved_scans(e))
+
+
 @query
 def history_runs(e):
     return history.history_runs(e["scan_runs"], "D1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -11,9 +11,9 @@ from tablegauge.operators import composite as comp
 from tablegauge.operators import consumption, history, items, semantic, sixfactor
 from tablegauge.params import ScanParams
 from tablegauge.session import settle
+from tablegauge.sources.relations import Relations
 from tablegauge.sources.schemas import INPUTS
 
-Relations = Mapping[str, DataFrame]
 LOGS = ("access_history", "query_history", "sessions", "tables")
 
 
@@ -65,11 +65,18 @@ def full_scan(estate: Relations, params: ScanParams) -> Scan:
     return Scan(scores, quality, items.top_targets(composite, todo), todo)
 
 
-def save_scan(scan: Scan, folder: str, params: ScanParams) -> DataFrame:
-    """Append a scan to the history and return its run rows."""
-    runs = settle(history.run_rows(scan.composite, params))
-    history.append_history(runs, history.item_rows(scan.items, runs), folder)
-    return runs
+def save_scan(
+    scan: Scan, folder: str, params: ScanParams, call_id: str | None = None
+) -> DataFrame:
+    """Append a scan to the history and return the run rows of this call.
+
+    Every call adds runs of its own, unless it is a repetition under the same ``call_id``, which
+    adds nothing and returns what the first has added.
+    """
+    call_id = call_id or uuid.uuid4().hex
+    runs = history.run_rows(scan.composite, params, call_id)
+    history.append_history(runs, history.item_rows(scan.items, runs), folder, call_id)
+    return history.load_runs(scan.composite.sparkSession, folder, call_id)
 
 
 def six_factor_scan(

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tablegauge.params import ScanParams
 from tablegauge.sources.schemas import INPUTS, LOG_TIMES
 
+Relations = Mapping[str, DataFrame]
+
 #: Partition column of a log written by :func:`write_log`.
 LOG_DATE = "log_date"
 
@@ -57,18 +59,19 @@ def moment(df: DataFrame, column: str, stamp) -> Column:
     return F.lit(str(stamp)).cast(df.schema[column].dataType)
 
 
-def in_dates(df: DataFrame, column: str, params: ScanParams) -> DataFrame:
-    """Keep the calendar dates of the reads window, both ends included."""
-    kept = df.where(
-        (F.col(column) >= moment(df, column, params.window_start))
-        & (F.col(column) < moment(df, column, params.window_end))
-    )
-    if LOG_DATE in df.columns:
-        kept = kept.where(
-            (F.col(LOG_DATE) >= moment(df, LOG_DATE, params.window_start))
-            & (F.col(LOG_DATE) < moment(df, LOG_DATE, params.window_end))
-        )
-    return kept
+def in_dates(
+    df: DataFrame, column: str, params: ScanParams, open_end: bool = False
+) -> DataFrame:
+    """Keep the calendar dates of the reads window, both ends included.
+
+    A log laid out by date is filtered by its partitions as well. ``open_end`` keeps all dates
+    after the window too.
+    """
+    for name in (column, *([LOG_DATE] if LOG_DATE in df.columns else [])):
+        df = df.where(F.col(name) >= moment(df, name, params.window_start))
+        if not open_end:
+            df = df.where(F.col(name) < moment(df, name, params.window_end))
+    return df
 
 
 def since_days_ago(df: DataFrame, column: str, params: ScanParams, days: int) -> DataFrame:

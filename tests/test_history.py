@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,19 +33,71 @@ def frame(spark):
     return build
 
 
-def test_a_scan_is_stored_once_however_often_it_is_saved(spark, params, tmp_path):
+def test_saving_adds_runs_per_call(spark, params, tmp_path):
     folder = str(tmp_path)
     result = scan.full_scan(DerivedEstate(spark, SMALL), params)
-    first = scan.save_scan(result, folder, params)
-    again = scan.save_scan(result, folder, params)
-    assert {r.run_id for r in first.collect()} == {r.run_id for r in again.collect()}
+    first = scan.save_scan(result, folder, params, "a")
+    again = scan.save_scan(result, folder, params, "a")
+    assert first.count() == 3  # two databases and the whole estate
+    assert sorted(first.collect()) == sorted(again.collect())
     runs, items = history.load_runs(spark, folder), history.load_items(spark, folder)
-    assert runs.count() == first.count() == 3  # two databases and the whole estate
-    assert items.count() == result.items.count() > 0
+    assert runs.count() == 3 and items.count() == result.items.count() > 0
     assert history.history_items(runs, items).count() == items.count()
-    later = scan.save_scan(result, folder, params.with_(sample_pct=30))
+    # Another call adds runs, be its scan the same one or not.
+    other = scan.save_scan(result, folder, params)
+    assert not {r.run_id for r in other.collect()} & {r.run_id for r in first.collect()}
     assert history.load_runs(spark, folder).count() == 6
-    assert {r.sample_pct for r in later.collect()} == {30}
+    later = scan.save_scan(result, folder, params.with_(sample_pct=30, account_name="b"), "b")
+    assert {(r.sample_pct, r.account_name) for r in later.collect()} == {(30, "b")}
+    assert history.load_items(spark, folder).count() == 3 * items.count()
+
+
+def test_only_committed_attempts_are_read(spark, frame, tmp_path):
+    folder = str(tmp_path)
+    runs = frame(schemas.SCAN_RUNS, run("a"))
+    items = frame(schemas.SCAN_IMPROVEMENT_ITEMS, item("a", 1))
+    assert history.load_runs(spark, folder).count() == 0
+    # A writer that died before its commit has left rows of both tables.
+    for table, rows in ((history.RUNS, runs), (history.ITEMS, items)):
+        rows.write.parquet(f"{folder}/{table}/call_id=x/attempt=dead")
+    assert history.load_runs(spark, folder).count() == history.load_items(spark, folder).count() == 0
+    assert history.append_history(runs, items, folder, "x")
+    assert not history.append_history(runs, items, folder, "x")
+    assert history.load_runs(spark, folder).count() == history.load_items(spark, folder).count() == 1
+    # Two attempts of one call that did not see each other: the first commit counts, for both tables.
+    later = frame(schemas.SCAN_RUNS, run("later"))
+    later.write.parquet(f"{folder}/{history.RUNS}/call_id=x/attempt=zz")
+    spark.sql("select timestamp '2999-01-01' as committed_at").write.parquet(
+        f"{folder}/{history.COMMITS}/call_id=x/attempt=zz")
+    assert [r.run_id for r in history.load_runs(spark, folder).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        history.append_history(runs, items, folder, "../x")
+
+
+def test_writers_at_the_same_time(spark, frame, tmp_path):
+    folder = str(tmp_path)
+
+    def save(number):
+        call = str(number % 4)  # every call is made twice
+        return history.append_history(
+            frame(schemas.SCAN_RUNS, run(call)),
+            frame(schemas.SCAN_IMPROVEMENT_ITEMS, item(call, 1), item(call, 2)), folder, call)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(save, range(8)))
+    assert sorted(r.run_id for r in history.load_runs(spark, folder).collect()) == list("0123")
+    assert history.load_items(spark, folder).count() == 8
+
+
+def test_one_call_reads_its_own_partition(spark, frame, tmp_path):
+    folder = str(tmp_path)
+    for call in "ab":
+        history.append_history(
+            frame(schemas.SCAN_RUNS, run(call)), frame(schemas.SCAN_IMPROVEMENT_ITEMS), folder, call)
+    one = history.load_runs(spark, folder, "b")
+    assert [r.run_id for r in one.collect()] == ["b"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(call_id#") > 0
 
 
 def test_runs_are_read_by_scope_newest_first(frame):
