@@ -32,6 +32,12 @@ def stage_title(score: Column) -> Column:
     return _up_to(score, K.STAGES, K.STAGES[-1][1])
 
 
+def stage_text(score: Column) -> Column:
+    """What a stage asks for."""
+    texts = [(bound, text) for (bound, _), text in zip(K.STAGES, K.STAGE_TEXTS, strict=True)]
+    return _up_to(score, texts, K.STAGE_TEXTS[-1])
+
+
 def score_band(score: Column) -> Column:
     """Colour band of a score: low, mid or high."""
     return _up_to(score, K.COLOUR_BANDS, K.COLOUR_TOP)

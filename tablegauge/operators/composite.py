@@ -141,66 +141,36 @@ def estate_scopes(databases: DataFrame) -> DataFrame:
 
 
 def recommendation_text(account_name: str) -> Column:
-    """Plain-language summary of a composite row that carries its top_targets."""
-    account = F.lit(account_name)
-    gap, demand = F.col("gap"), F.col("pct_demand_raw")
-    cover, depth = F.col("pct_sv_coverage_raw"), F.col("avg_sv_quality_raw")
-    n_cr, n_covered = F.col("n_cr_tables"), F.col("n_sv_covered")
-
-    def say(*parts) -> Column:
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    def listed(intro: str, names: str, only_if: Column | bool = True) -> Column:
-        some = (F.size(names) > 0) & only_if
-        return F.when(some, say(intro, F.array_join(names, ", "))).otherwise("")
-
-    score = say(whole(F.col("ai_readiness")), "/100")
-    headline = F.when(
-        gap == "HEALTHY", say(account, " stands at ", score, "; every dimension is healthy.")
-    ).otherwise(
-        say(account, " stands at ", score, "; main gap: ", F.replace(gap, F.lit("_"), F.lit(" ")),
-            ".")
-    )
+    """A line of facts about a composite row that carries its top_targets.
 
-    demand_pct = say(whole(F.coalesce(demand, F.lit(0.0)) * 100), "%")
-    cr_count = say(" (", n_cr.cast("string"), " CR tables).")
-    demand_part = (
-        F.when(demand >= 0.7, say("Demand coverage is strong: ", demand_pct, cr_count))
-        .when(demand >= 0.5, say("Demand coverage is moderate: ", demand_pct, cr_count))
-        .when(n_cr == 0, "There are no consumption-ready tables.")
-        .otherwise(say("Demand coverage is low: ", demand_pct,
-                       " of reads land on CR tables",
-                       listed("; busiest areas: ", "top_targets"), "."))
-    )
+    Every measure is given with its grade: strong, fair or weak. Coverage is left out where there
+    is nothing to cover, depth where there are no views. The line ends with what fits the gap.
+    """
+    n_cr, targets, missing = F.col("n_cr_tables"), F.col("top_targets"), F.col("missing_dims")
+    demand = F.coalesce("pct_demand_raw", F.lit(0.0))
+    cover, depth = F.col("pct_sv_coverage_raw"), F.col("avg_sv_quality_raw")
 
-    uncovered = (n_cr - n_covered).cast("string")
-    on_tables = gap.isin("BUILD_SVS", "EXPAND_SV_COVERAGE")
-    cover_pct = say(whole(cover * 100), "%")
-    coverage_part = F.when(n_cr > 0, (
-        F.when(cover == 0, say("None of the ", n_cr.cast("string"),
-                               " CR tables has a semantic view."))
-        .when(cover < 0.5, say("SV coverage is low: ", cover_pct, ", ", uncovered,
-                               " CR tables have no semantic view",
-                               listed("; start with: ", "top_targets", on_tables), "."))
-        .otherwise(say("SV coverage is good: ", cover_pct, ", ", n_covered.cast("string"),
-                       " of ", n_cr.cast("string"), " CR tables."))
-    ))
-
-    depth_text = say(F.format_number(depth, 2), "/1.0")
-    quality_part = F.when(depth > 0, (
-        F.when(depth < 0.5, say("SV quality averages ", depth_text,
-                                listed("; often missing: ", "missing_dims"), "."))
-        .otherwise(say("SV quality is good: ", depth_text, "."))
-    ))
-
-    next_step = (
-        F.when(gap == "BUILD_CR_TABLES", "Next: make more tables consumption-ready.")
-        .when(gap == "BUILD_SVS",
-              say("Next: create semantic views for the ", n_cr.cast("string"), " CR tables."))
-        .when(gap == "EXPAND_SV_COVERAGE",
-              say("Next: add semantic views for the ", uncovered, " CR tables without one."))
-        .when(gap == "IMPROVE_SV_QUALITY",
-              say("Next: raise SV quality", listed(" by adding ", "missing_dims"), "."))
-        .when(gap == "HEALTHY", "Nothing to do right now.")
+    def fact(name: str, value: Column, grade: Column, *more: Column) -> Column:
+        return F.concat(F.lit(f"{name} "), value, F.lit(" ("), F.concat_ws(", ", grade, *more),
+                        F.lit(")"))
+
+    def percent(share: Column) -> Column:
+        return F.concat(whole(share * 100), F.lit("%"))
+
+    def grade(share: Column, strong: float = K.GAP_CUT) -> Column:
+        return F.when(share >= strong, "strong").when(share >= K.GAP_CUT, "fair").otherwise("weak")
+
+    lacking = F.when((depth < K.GAP_CUT) & (F.size(missing) > 0), F.concat(
+        F.lit("lacking "), F.array_join(missing, " and ")))
+    todo = F.create_map(*[F.lit(x) for pair in K.NEXT_STEPS.items() for x in pair])[F.col("gap")]
+    where = F.when(F.size(targets) > 0, F.concat(F.lit(" in "), F.array_join(targets, ", ")))
+    return F.concat_ws(
+        "; ",
+        F.concat(F.lit(f"{account_name}: "), whole(F.col("ai_readiness")), F.lit(" of 100")),
+        fact("reads on ready tables", percent(demand), grade(demand, K.STRONG_DEMAND),
+             F.concat(n_cr.cast("string"), F.lit(" ready"))),
+        F.when(n_cr > 0, fact("ready tables in views", percent(cover), grade(cover), F.concat(
+            F.col("n_sv_covered").cast("string"), F.lit(" of "), n_cr.cast("string")))),
+        F.when(depth > 0, fact("depth of views", F.format_number(depth, 2), grade(depth), lacking)),
+        F.concat(F.lit("to do: "), todo, F.coalesce(where, F.lit(""))),
     )
-    return F.concat_ws(" ", headline, demand_part, coverage_part, quality_part, next_step)

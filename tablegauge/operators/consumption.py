@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions import scoring
 from tablegauge.functions.names import TABLE_KEY, in_scope, per_scope, upper_key
-from tablegauge.functions.ranks import with_percent_rank
+from tablegauge.functions.ranks import with_percent_ranks
 from tablegauge.operators.reads import reads_joined, reads_per_table
 from tablegauge.params import ScanParams
 from tablegauge.session import settle
@@ -47,14 +47,11 @@ def cr_inputs(
 
 def cr_percent_ranks(inputs: DataFrame, params: ScanParams) -> DataFrame:
     """Rank reads, users and BI reads within every scope a table belongs to."""
-    scoped = per_scope(inputs, params)
-    for value, alias in (
-        ("analytical_reads", "activity_pctile"),
-        ("distinct_users", "user_pctile"),
-        ("app_reads", "app_pctile"),
-    ):
-        scoped = with_percent_rank(scoped, "scope", value, alias)
-    return scoped
+    return with_percent_ranks(per_scope(inputs, params), "scope", {
+        "analytical_reads": "activity_pctile",
+        "distinct_users": "user_pctile",
+        "app_reads": "app_pctile",
+    })
 
 
 def cr_scores(

@@ -41,10 +41,8 @@ def items_schema_gap(scores: DataFrame, params: ScanParams) -> DataFrame:
         F.concat_ws(".", "database_name", "schema_name").alias("target"),
         F.format_string(K.SCHEMA_DETAIL, grouped(F.col("reads")), "tables", "cr_tables")
         .alias("detail"),
-        F.concat(
-            F.lit("Raise CR coverage: "), grouped(F.col("missed")),
-            F.lit(" reads go to non-CR tables."),
-        ).alias("recommendation"),
+        F.concat(grouped(F.col("missed")), F.lit(" reads miss ready tables"))
+        .alias("recommendation"),
     )
     return _items(described, "SCHEMA_GAP", [F.desc("missed"), F.col("target")], K.MAX_ITEMS)
 
@@ -59,7 +57,7 @@ def items_uncovered_cr(scores: DataFrame, quality: DataFrame, params: ScanParams
         F.concat_ws(".", *TABLE_KEY).alias("target"),
         F.format_string(K.TABLE_DETAIL, grouped(F.col("analytical_reads")), "distinct_users")
         .alias("detail"),
-        F.lit("Describe this table in a semantic view.").alias("recommendation"),
+        F.lit("not in any view").alias("recommendation"),
     )
     order = [F.desc("analytical_reads"), F.col("target"), F.col("full_table_name")]
     return _items(described, "UNCOVERED_CR_TABLE", order, K.MAX_ITEMS)
@@ -79,8 +77,8 @@ def items_sv_quality(scores: DataFrame, quality: DataFrame, params: ScanParams)
     described = weak.select(
         "scope", "quality_score", F.col("sv_fqn").alias("target"),
         F.format_string(K.VIEW_DETAIL, whole(F.col("quality_score") * 100)).alias("detail"),
-        F.when(F.size(parts) > 0, F.concat(F.lit("Add: "), F.array_join(parts, ", "), F.lit(".")))
-        .otherwise("Enrich the view's metadata.").alias("recommendation"),
+        F.when(F.size(parts) > 0, F.concat(F.lit("without "), F.array_join(parts, ", ")))
+        .otherwise("thin comments or few verified queries").alias("recommendation"),
     )
     order = [F.col("quality_score"), F.col("target")]
     return _items(described, "SV_QUALITY_GAP", order, K.MAX_ITEMS)

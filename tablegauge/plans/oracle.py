@@ -303,8 +303,7 @@ STEPS: dict[str, str] = {
         n_all_scored, n_sv, n_sv_covered, demand, cover, depth, missing_dims from shares""",
     "schema_items": """select scope, 'SCHEMA_GAP' as item_type, missed as ord, target,
         format('{:,}', reads) || ' reads across ' || n || ' tables, ' || n_cr || ' CR' as detail,
-        'Raise CR coverage: ' || format('{:,}', missed) || ' reads go to non-CR tables.'
-            as recommendation
+        format('{:,}', missed) || ' reads miss ready tables' as recommendation
         from (select scope, database_name || '.' || schema_name as target, count(*) as n,
             cast(sum(analytical_reads) as bigint) as reads,
             cast(sum(is_cr::int) as bigint) as n_cr, cast(sum(
@@ -315,13 +314,13 @@ STEPS: dict[str, str] = {
         database_name || '.' || schema_name || '.' || table_name as target,
         format('{{:,}}', analytical_reads) || ' reads, ' || distinct_users || ' distinct users'
             as detail,
-        'Describe this table in a semantic view.' as recommendation, full_table_name
+        'not in any view' as recommendation, full_table_name
         from cr_rows where is_cr and (scope, {_PK}) not in (select (scope, {_PK}) from covered)""",
     "view_items": """select scope, 'SV_QUALITY_GAP' as item_type, quality_score as ord,
         sv_fqn as target,
         'Quality: ' || cast(round(quality_score * 100) as bigint) || '/100' as detail,
-        case when len(missing) > 0 then 'Add: ' || array_to_string(missing[1:4], ', ') || '.'
-             else 'Enrich the view''s metadata.' end as recommendation
+        case when len(missing) > 0 then 'without ' || array_to_string(missing[1:4], ', ')
+             else 'thin comments or few verified queries' end as recommendation
         from (select *, list_filter([case when not has_pk then 'primary key' end,
             case when not has_synonyms then 'synonyms' end,
             case when not has_metrics then 'metrics' end,
@@ -466,6 +465,9 @@ def _labels(column: str, labels: dict[str, str]) -> str:
 _STAGE = _bands("ai_readiness", [(b, n) for n, (b, _) in enumerate(K.STAGES, 1)], len(K.STAGES))
 _TITLE = _bands("ai_readiness", [(b, _quoted(t)) for b, t in K.STAGES], _quoted(K.STAGES[-1][1]))
 
+_ADVICE = _bands("ai_readiness", [
+    (b, _quoted(t)) for (b, _), t in zip(K.STAGES, K.STAGE_TEXTS)], _quoted(K.STAGE_TEXTS[-1]))
+
 
 def _colour(value: str) -> str:
     return _bands(value, [(b, _quoted(t)) for b, t in K.COLOUR_BANDS], _quoted(K.COLOUR_TOP))
@@ -503,45 +505,25 @@ STEPS |= {
 }
 
 
-def _summary() -> str:
+def _summary(account: str = "account") -> str:
     """The recommendation text over composite rows joined to their targets."""
-    pct = "cast(round({} * 100) as bigint) || '%'"
-    more = "(n_cr_tables - n_sv_covered)"
-    score = "cast(round(ai_readiness) as bigint) || '/100'"
-    on_tables = "gap in ('BUILD_SVS', 'EXPAND_SV_COVERAGE')"
-    return f"""concat_ws(' ',
-        case when gap = 'HEALTHY' then 'account stands at ' || {score}
-                || '; every dimension is healthy.'
-             else 'account stands at ' || {score} || '; main gap: ' || replace(gap, '_', ' ')
-                || '.' end,
-        case when demand >= 0.7 then 'Demand coverage is strong: ' || {pct.format('demand')}
-                || ' (' || n_cr_tables || ' CR tables).'
-             when demand >= 0.5 then 'Demand coverage is moderate: ' || {pct.format('demand')}
-                || ' (' || n_cr_tables || ' CR tables).'
-             when n_cr_tables = 0 then 'There are no consumption-ready tables.'
-             else 'Demand coverage is low: ' || {pct.format('coalesce(demand, 0)')}
-                || ' of reads land on CR tables' || case when top_targets <> ''
-                then '; busiest areas: ' || top_targets else '' end || '.' end,
-        case when n_cr_tables = 0 then null
-             when cover = 0 then 'None of the ' || n_cr_tables || ' CR tables has a semantic view.'
-             when cover < 0.5 then 'SV coverage is low: ' || {pct.format('cover')} || ', ' || {more}
-                || ' CR tables have no semantic view' || case when {on_tables}
-                and top_targets <> '' then '; start with: ' || top_targets else '' end || '.'
-             else 'SV coverage is good: ' || {pct.format('cover')} || ', ' || n_sv_covered || ' of '
-                || n_cr_tables || ' CR tables.' end,
-        case when depth = 0 then null
-             when depth < 0.5 then 'SV quality averages ' || printf('%.2f', depth) || '/1.0'
-                || case when missing_dims <> '' then '; often missing: ' || missing_dims else '' end
-                || '.'
-             else 'SV quality is good: ' || printf('%.2f', depth) || '/1.0.' end,
-        case gap when 'BUILD_CR_TABLES' then 'Next: make more tables consumption-ready.'
-             when 'BUILD_SVS' then 'Next: create semantic views for the ' || n_cr_tables
-                || ' CR tables.'
-             when 'EXPAND_SV_COVERAGE' then 'Next: add semantic views for the ' || {more}
-                || ' CR tables without one.'
-             when 'IMPROVE_SV_QUALITY' then 'Next: raise SV quality' || case
-                when missing_dims <> '' then ' by adding ' || missing_dims else '' end || '.'
-             else 'Nothing to do right now.' end)"""
+    def grade(share: str, strong: float = 0.5) -> str:
+        return f"case when {share} >= {strong} then 'strong' when {share} >= 0.5 then 'fair' else 'weak' end"
+
+    pct = "cast(round({} * 100) as bigint) || '% (' || "
+    return f"""concat_ws('; ', '{account}: ' || cast(round(ai_readiness) as bigint) || ' of 100',
+        'reads on ready tables ' || {pct.format('coalesce(demand, 0)')}
+            {grade('coalesce(demand, 0)', 0.7)} || ', ' || n_cr_tables || ' ready)',
+        case when n_cr_tables > 0 then 'ready tables in views ' || {pct.format('cover')}
+            {grade('cover')} || ', ' || n_sv_covered || ' of ' || n_cr_tables || ')' end,
+        case when depth > 0 then 'depth of views ' || printf('%.2f', depth) || ' ('
+            || {grade('depth')} || case when depth < 0.5 and missing_dims <> ''
+            then ', lacking ' || replace(missing_dims, ', ', ' and ') else '' end || ')' end,
+        'to do: ' || case gap when 'BUILD_CR_TABLES' then 'prepare busy tables'
+            when 'BUILD_SVS' then 'create views'
+            when 'EXPAND_SV_COVERAGE' then 'reach more tables with views'
+            when 'IMPROVE_SV_QUALITY' then 'complete the views' else 'nothing' end
+            || case when top_targets <> '' then ' in ' || top_targets else '' end)"""
 
 
 _RUNS = """run_id, run_ts, account_name, role_name, database_filter, sample_pct, ai_readiness,
@@ -568,7 +550,7 @@ def _saved(call: str, account: str, role: str = "role", where: str = "true", **l
         '{account}' as account_name, '{role}' as role_name, scope as database_filter,
         cast(null as integer) as sample_pct, ai_readiness, demand_coverage, sv_readiness,
         sv_coverage, sv_quality, n_cr_tables, gap,
-        '{account}' || substr({_summary()}, 8) as recommendation_text, n_all_scored, n_sv,
+        {_summary(account)} as recommendation_text, n_all_scored, n_sv,
         n_sv_covered, cast(null as varchar) as report_html_path
         from composite join targets using (scope) where {where}""", **limits)
 
@@ -586,6 +568,49 @@ def check_key(requirement: str) -> str:
     return f"check_{requirement.removesuffix('_declaration')}"
 
 
+#: Columns of the source tables, each with the way it is written in a digest.
+_COLUMNS = {
+    "region": "r_regionkey:text r_name:text",
+    "nation": "n_nationkey:text n_name:text n_regionkey:text",
+    "customer": "c_custkey:text c_name:text c_nationkey:text c_acctbal:number c_mktsegment:text",
+    "supplier": "s_suppkey:text s_name:text s_nationkey:text s_acctbal:number",
+    "part": "p_partkey:text p_name:text p_brand:text p_type:text p_size:text"
+            " p_retailprice:number",
+    "orders": "o_orderkey:text o_custkey:text o_orderstatus:text o_totalprice:number"
+              " o_orderdate:time o_orderpriority:text",
+    "lineitem": "l_orderkey:text l_partkey:text l_suppkey:text l_linenumber:text"
+                " l_quantity:number l_extendedprice:number l_discount:number l_tax:number"
+                " l_returnflag:text l_linestatus:text l_shipdate:time",
+    "events": "event_id:text ts:time user_id:text event_type:text value:number props:text",
+    "documents": "doc_id:text text:text lang:text source:text n_chars:text",
+    "embeddings": "vec_id:text embedding:numbers label:text",
+    "pages": "page_id:text url:text html:text",
+    "benchmark": "item_id:text text:text",
+    "labels": "doc_id:text quality:text toxic:text",
+    "conversations": "conv_id:text turn:text role:text text:text",
+}
+_MILLIONTHS = "cast(cast(round(cast({} as double) * 1000000) as bigint) as varchar)"
+_WRITTEN = {
+    "text": "cast({} as varchar)", "number": _MILLIONTHS,
+    "time": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')",
+    "numbers": "array_to_string(list_transform({}, lambda v: coalesce("
+               + _MILLIONTHS.format("v") + ", '-')), ',')",
+}
+
+
+def _digest(table: str) -> str:
+    """SHA-256 over the length and text of every column."""
+    shown = [_WRITTEN[kind].format(name) for name, kind in
+             (column.split(":") for column in _COLUMNS[table].split())]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in shown) + ")"
+
+
+def _others(table: str) -> str:
+    """The columns after the first, in order, nulls first."""
+    names = [column.split(":")[0] for column in _COLUMNS[table].split()][1:]
+    return ", ".join(f"{name} nulls first" for name in names)
+
+
 def _each_table(select: str) -> str:
     """One select per source table, whose name stands for {table}."""
     return " union all ".join(select.replace("{table}", t) for t in SOURCES)
@@ -617,6 +642,15 @@ def oracle_sql() -> dict[str, str]:
         "scope_filter": f"select {_PK}, query_id from accesses where database_name = 'D1'",
         "json_app": "select session_id, application_name from sessions",
         "bi_classifier": "select session_id, application_name, is_bi_or_dashboard from apps",
+        # Every tenth customer has one of ten names; three of those are hosted dashboards.
+        "bi_classifier_hosted": """select cast(c_custkey as varchar) as session_id,
+            ['Harbor Web Desk (pier_streamlit)', 'harbor web desk (PIER_DASHBOARD)',
+             'Harbor Web Desk (pierXdashboard)', 'Harbor Web Desk (pier_notebook)',
+             'Other Web Desk (pier_dashboard)', 'Harbor Web Desk (pier_dashboard) 2',
+             'harborcli.streamlit.1', 'xharborcli.streamlit', 'harborcli-streamlit', 'Streamlit'
+            ][c_custkey % 10 + 1] as application_name,
+            case when c_custkey % 10 in (0, 1, 6) then 1 end as is_bi_or_dashboard
+            from customer""",
         "eligible_queries": "select query_id, session_id, execution_time from eligible",
         "reads_joined": f"""select {_PK}, full_table_name, query_id, user_name, execution_time_ms,
             application_name, is_bi_or_dashboard from reads""",
@@ -678,6 +712,13 @@ def oracle_sql() -> dict[str, str]:
             sv_coverage, sv_quality, n_cr_tables, gap, n_all_scored, n_sv, n_sv_covered,
             round(demand, 6) as pct_demand_raw, round(cover, 6) as pct_sv_coverage_raw,
             round(depth, 6) as avg_sv_quality_raw, missing_dims from composite""",
+        "composite_unknown_scope": """select 'NOWHERE' as scope, 0.0::double as ai_readiness,
+            0.0::double as demand_coverage, 0.0::double as sv_readiness, 0.0::double as sv_coverage,
+            0.0::double as sv_quality, 0::bigint as n_cr_tables, 'BUILD_CR_TABLES' as gap,
+            0::bigint as n_all_scored, (select count(distinct sv_fqn) from sv) as n_sv,
+            0::bigint as n_sv_covered, null::double as pct_demand_raw,
+            0.0::double as pct_sv_coverage_raw, 0.0::double as avg_sv_quality_raw,
+            '' as missing_dims""",
         "gap_class": """select run_id, gap from scan_runs""",
         "items_schema_gap": f"select {_ITEM} from schema_top",
         "items_uncovered_cr": f"select {_ITEM} from table_top",
@@ -723,7 +764,7 @@ def oracle_sql() -> dict[str, str]:
         "history_trend": " union all ".join(
             f"""select run_id, run_ts, database_filter, '{c}' as measure, {c} as value,
             70.0::double as healthy_threshold from scan_runs""" for c in K.TREND_COLUMNS),
-        "score_stage": f"""select run_id, ai_readiness, {_STAGE} as stage, {_TITLE} as stage_title
+        "score_stage": f"""select run_id, ai_readiness, {_STAGE} as stage, {_TITLE} as stage_title, {_ADVICE} as stage_text
             from scan_runs""",
         "score_band": f"select run_id, {_colour('ai_readiness')} as band from scan_runs",
         "gap_label": f"select run_id, {_labels('gap', K.GAP_LABELS)} as gap_label from scan_runs",
@@ -753,9 +794,14 @@ def oracle_sql() -> dict[str, str]:
             " (select unnest([10, 25, 50]) as k) group by k"),
         "probe_topk": " union all ".join(
             f"""select '{t}' as table_name, '{order}' as direction, {k} as k,
-            cast(first as varchar) as first_value from (select * from (select #1 as first from {t})
-            order by first {order} limit {k})"""
+            cast(first as varchar) as first_value, row_sha256 from (
+                select {_COLUMNS[t].split(':')[0]} as first, {_digest(t)} as row_sha256 from {t}
+                order by first {order}, {_others(t)} limit {k})"""
             for t in SOURCES for order, k in K.PROBE_TOPK["large"]),
+        "probe_sample": " union all ".join(
+            f"""select '{t}' as table_name, count(*) as n_sampled from {t}
+            where cast('0x' || substr({_digest(t)}, 1, 8) as bigint) < 2147483648"""
+            for t in SOURCES),
         "probe_distinct_rows": _each_table(
             "select '{table}' as table_name, count(*) as n_distinct from (select distinct * from"
             " {table} where columns(*) is not null)"),

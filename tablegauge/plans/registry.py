@@ -106,6 +106,25 @@ def bi_classifier(e):
     return reads.session_apps(e["sessions"], PARAMS)
 
 
+#: Dashboards of a made-up platform, as a caller would name them.
+HOSTED = (r"Harbor Web Desk (pier\_streamlit)", r"Harbor Web Desk (pier\_dashboard)",
+          "HARBORCLI.STREAMLIT%")
+
+
+@query
+def bi_classifier_hosted(e):
+    """Hosted dashboards and near misses: another case, a wildcard's letter, more or less text."""
+    names = ["Harbor Web Desk (pier_streamlit)", "harbor web desk (PIER_DASHBOARD)",
+             "Harbor Web Desk (pierXdashboard)", "Harbor Web Desk (pier_notebook)",
+             "Other Web Desk (pier_dashboard)", "Harbor Web Desk (pier_dashboard) 2",
+             "harborcli.streamlit.1", "xharborcli.streamlit", "harborcli-streamlit", "Streamlit"]
+    pick = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % 10 + 1).cast("int"))
+    named = e.source("customer").select(
+        F.col("c_custkey").cast("string").alias("session_id"),
+        F.to_json(F.struct(pick.alias("APPLICATION"))).alias("client_environment"))
+    return reads.session_apps(named, PARAMS.with_(hosted_clients=HOSTED))
+
+
 @query
 def eligible_queries(e):
     return reads.eligible_queries(e["query_history"], PARAMS).select(
@@ -335,6 +354,13 @@ def composite_scores(e):
     return rounded(_listed(composite, "missing_dims"), *shares)
 
 
+@query
+def composite_unknown_scope(e):
+    """A database that the catalog does not know still gets its row."""
+    composite = scan.full_scan(e, PARAMS.with_(scope="nowhere")).composite.drop("top_targets")
+    return _listed(composite, "missing_dims")
+
+
 @query
 def gap_class(e):
     """The gap of every stored run, worked out again from its scores."""
@@ -505,7 +531,7 @@ def score_stage(e):
     score = F.col("ai_readiness")
     return e["scan_runs"].select(
         "run_id", score, bands.score_stage(score).alias("stage"),
-        bands.stage_title(score).alias("stage_title"))
+        bands.stage_title(score).alias("stage_title"), bands.stage_text(score).alias("stage_text"))
 
 
 @query
@@ -566,14 +592,8 @@ def probe_limit(e):
 
 @query
 def probe_topk(e):
-    def extremes(name, table):
-        return reduce(DataFrame.unionByName, [
-            probes.probe_topk(table, k, order == "desc").select(
-                F.lit(name).alias("table_name"), F.lit(order).alias("direction"),
-                F.lit(k).alias("k"), F.col(table.columns[0]).cast("string").alias("first_value"))
-            for order, k in K.PROBE_TOPK["large"]
-        ])
-    return _tables(e, extremes)
+    return _tables(e, lambda name, table: probes.probe_extremes(
+        table, K.PROBE_TOPK["large"]).select(F.lit(name).alias("table_name"), "*"))
 
 
 @query

@@ -44,11 +44,10 @@ def quality_of(estate: Relations) -> DataFrame:
 
 def scopes_of(estate: Relations, params: ScanParams) -> DataFrame:
     """Scopes to report: the chosen database, or every database and the whole estate."""
-    databases = sixfactor.scope_list(estate["catalog_tables"]).select("database_name")
-    scopes = comp.estate_scopes(databases)
-    if params.single_scope is None:
-        return scopes
-    return scopes.where(scopes["scope"] == params.single_scope)
+    if params.single_scope is not None:  # also one that the catalog does not know
+        return estate["catalog_tables"].sparkSession.createDataFrame(
+            [(params.single_scope,)], "scope string")
+    return comp.estate_scopes(sixfactor.scope_list(estate["catalog_tables"]).select("database_name"))
 
 
 def full_scan(estate: Relations, params: ScanParams) -> Scan:

@@ -95,9 +95,9 @@ def test_weak_views(scan):
     assert row.missing_dims == ["synonyms", "metrics", "relationships"]
     assert [(r.target, r.detail) for r in todo] == [
         ("D.S.one", "Quality: 20/100"), ("D.S.two", "Quality: 40/100")]
-    assert todo[0].recommendation == "Add: primary key, synonyms, metrics, relationships."
-    assert todo[1].recommendation == "Enrich the view's metadata."
-    assert "adding synonyms, metrics, relationships" in row.text
+    assert todo[0].recommendation == "without primary key, synonyms, metrics, relationships"
+    assert todo[1].recommendation == "thin comments or few verified queries"
+    assert "lacking synonyms and metrics and relationships" in row.text
 
 
 def test_healthy(scan):
@@ -107,6 +107,5 @@ def test_healthy(scan):
     assert (row.demand_coverage, row.sv_coverage, row.sv_quality) == (75.0, 100.0, 64.0)
     assert (row.sv_readiness, row.ai_readiness) == (80.0, 77.5)
     assert row.text == (
-        "acme stands at 78/100; every dimension is healthy. Demand coverage is strong: 75% "
-        "(1 CR tables). SV coverage is good: 100%, 1 of 1 CR tables. SV quality is good: "
-        "0.64/1.0. Nothing to do right now.")
+        "acme: 78 of 100; reads on ready tables 75% (strong, 1 ready); ready tables in views 100% "
+        "(strong, 1 of 1); depth of views 0.64 (strong); to do: nothing")

@@ -8,8 +8,6 @@ from tests.compare import connect, difference
 from tests.conftest import SMALL
 
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-#: A random sample has no SQL counterpart.
-ROWS_ONLY = {"probe_sample"}
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +15,8 @@ def connection():
     return connect(SMALL)
 
 
-def test_only_random_queries_lack_an_oracle():
-    assert set(registry.all_queries()) - set(oracle.oracle_sql()) == ROWS_ONLY
+def test_every_query_has_its_sql():
+    assert set(registry.all_queries()) == set(oracle.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
 
 

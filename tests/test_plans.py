@@ -3,13 +3,16 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tablegauge.operators import history, items, reads, report
 from tablegauge.params import ScanParams
 from tablegauge.plans import scan
+from tablegauge.sources import stored_logs
 from tablegauge.sources.derived import AS_OF, DerivedEstate
 from tablegauge.sources.relations import Estate, write_log
+from tablegauge.sources.schemas import LOG_TIMES
 from tests.conftest import SMALL
 
 PARAMS = ScanParams(AS_OF)
@@ -54,7 +57,8 @@ def test_logs_are_scanned_once_for_counts_and_median(estate):
     frame = reads.reads_per_table(reads.reads_joined(*logs, PARAMS), PARAMS)
     final = plan(frame, run=True).split("Initial Plan")[0]
     assert "ReusedExchange" in final
-    assert final.count("FileScan parquet") == 3
+    # Both logs, the sessions, and the session ids of the queries, which are counted.
+    assert final.count("FileScan parquet") == 4
 
 
 def test_only_needed_columns_and_dates_are_read(stored):
@@ -68,6 +72,27 @@ def test_only_needed_columns_and_dates_are_read(stored):
         assert "PartitionFilters: [isnotnull(log_date" in line
 
 
+def test_logs_in_buckets_are_joined_where_they_lie(spark, estate, tmp_path):
+    root, buckets = str(tmp_path), 3
+    for name in LOG_TIMES:
+        for even in (True, False):  # two appends
+            part = estate[name].where((F.xxhash64("query_id") % 2 == 0) == even)
+            stored_logs.append_log(part, root, name, buckets)
+    for name in ("sessions", "tables"):
+        estate[name].write.parquet(f"{root}/{name}")
+    kept = stored_logs.StoredEstate(spark, root, buckets)
+    assert kept["access_history"].count() == estate["access_history"].count()
+    text = plan(reads.reads_joined(*[kept[n] for n in scan.LOGS[:3]], PARAMS))
+    logs = [line for line in text.split("\n") if "FileScan" in line and "query_id" in line]
+    assert len(logs) == 2
+    for line in logs:
+        assert "PartitionFilters: [isnotnull(log_date" in line and "Bucketed: true" in line
+    # Nothing is exchanged by query id; the sessions and the hot list go to the rows.
+    assert "hashpartitioning(query_id" not in text and "SortMergeJoin [query_id" in text
+    one, two = scan.scores_of(kept, PARAMS), scan.scores_of(estate, PARAMS)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
 def test_stored_estate_scores_like_the_derived_one(stored, estate):
     one, two = scan.scores_of(stored, PARAMS), scan.scores_of(estate, PARAMS)
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.functions.apps import application_name, bi_flag
 from tablegauge.functions.names import with_name_parts
-from tablegauge.functions.ranks import with_percent_rank
+from tablegauge.functions.ranks import with_percent_ranks
 from tablegauge.operators import consumption, reads
 from tests.conftest import NOW
 
@@ -99,15 +99,24 @@ def test_eligible_queries(rows, params, changes, kept):
 @pytest.mark.parametrize("name, is_bi", [
     ("Looker 24.1", 1), ("x TABLEAU 2024 Prep y", 1), ("Microsoft Power BI", 1),
     ("sisuXdata", 1), ("Sigma Σ", 1), ("sigma Σ", None), ("M", 1), ("m", None), ("MM", None),
-    ("streamlit", 1), ("Streamlit", None), ("Vendor Web App (vendor_streamlit)", 1),
-    ("Vendor Web App (vendor_dashboard)", 1), ("Vendor Web App (vendorXdashboard)", None),
-    ("VENDORCLI.STREAMLIT.1", 1), ("PythonConnector", None), (None, None),
+    ("streamlit", 1), ("Streamlit", None), ("PythonConnector", None), (None, None),
 ])
 def test_bi_flag(spark, name, is_bi):
     frame = spark.createDataFrame([(name,)], "application_name string")
     assert frame.select(bi_flag().alias("r")).first().r == is_bi
 
 
+@pytest.mark.parametrize("name, is_bi", [
+    ("Web App (desk_board)", 1), ("web app (DESK_BOARD)", 1), ("Web App (deskXboard)", None),
+    ("A Web App (desk_board)", None), ("Web App (desk_board) 1", None), ("DESKCLI.1", 1),
+    ("xdeskcli", None), ("Qlik", 1), (None, None),
+])
+def test_hosted_clients_are_named_by_the_caller(spark, name, is_bi):
+    frame = spark.createDataFrame([(name,)], "application_name string")
+    flag = bi_flag((r"Web App (desk\_board)", "deskcli%"))
+    assert frame.select(flag.alias("r")).first().r == is_bi
+
+
 def test_application_name_of_broken_json_is_unknown(spark):
     frame = spark.createDataFrame(
         [('{"APPLICATION": "a"}',), ("{bad",), ("{}",), (None,)], "client_environment string")
@@ -158,15 +167,56 @@ def test_against_brute_force(spark, params, seed, spread):
         assert row.distinct_app_tools == len({d[6] for d in mine if d[7]})
 
 
-def test_percent_rank_equals_the_window(spark):
+@pytest.mark.parametrize("most", [0, 1000])  # in cells, and with the values sent to the rows
+def test_percent_ranks_equal_the_window(spark, most):
     rng = random.Random(3)
-    data = [("one", 5), ("tied", 4), ("tied", 4)] + [("big", rng.randint(1, 30)) for _ in range(500)]
-    frame = spark.createDataFrame(data, "scope string, v long")
-    got = with_percent_rank(frame, "scope", "v", "r").groupBy("scope", "v", "r").count()
+    data = [("one", 5, 0), ("tied", 4, 0), ("tied", 4, 1)] + [
+        ("big", rng.randint(1, 30), rng.choice([0, 0, 0, 7])) for _ in range(500)]
+    frame = spark.createDataFrame(data, "scope string, v long, w long")
+    got = with_percent_ranks(frame, "scope", {"v": "r", "w": "s"}, most)
     want = frame.selectExpr(
-        "scope", "v", "percent_rank() over (partition by scope order by v) as r"
-    ).groupBy("scope", "v", "r").count()
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        "*", "percent_rank() over (partition by scope order by v) as r",
+        "percent_rank() over (partition by scope order by w) as s")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_table_rows_stay_where_they_are_for_their_ranks(spark, params):
+    ranked = consumption.cr_percent_ranks(_inputs(spark, *range(5, 60)), params)
+    assert "Exchange hashpartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def _client_sizes(spark, frame):
+    """Rows of every task that joins clients to queries."""
+    return [r.n for r in frame.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
+@pytest.mark.parametrize("hot", ["s7", None])
+def test_a_hot_session_is_spread(spark, params, hot):
+    """A third of the queries is of one session, or of none."""
+    timed = spark.range(60_000).select(
+        F.col("id").cast("string").alias("query_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(hot))
+        .otherwise(F.concat(F.lit("s"), F.col("id") % 500)).alias("session_id"))
+    sessions = spark.range(400).select(
+        F.concat(F.lit("s"), "id").alias("session_id"),
+        F.lit('{"APPLICATION": "M"}').alias("client_environment"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        got = reads.with_clients(timed, sessions, params.with_(hot_queries=1000))
+        sizes = _client_sizes(spark, got)
+        assert sum(sizes) == 60_000 and max(sizes) <= 2 * statistics.median(sizes)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    known = {f"s{i}" for i in range(400)}
+    rows = got.groupBy("session_id", "application_name", "is_bi_or_dashboard").count().collect()
+    assert all((r.application_name, r.is_bi_or_dashboard) == (
+        ("M", 1) if r.session_id in known else (None, None)) for r in rows)
+    assert sum(r["count"] for r in rows) == 60_000
 
 
 def _inputs(spark, *counts):
