@@ -44,7 +44,7 @@ def items_schema_gap(scores: DataFrame, params: ScanParams) -> DataFrame:
         F.concat(grouped(F.col("missed")), F.lit(" reads miss ready tables"))
         .alias("recommendation"),
     )
-    return _items(described, "SCHEMA_GAP", [F.desc("missed"), F.col("target")], K.MAX_ITEMS)
+    return _items(described, "SCHEMA_GAP", [F.desc("missed"), F.col("target")], params.max_items)
 
 
 def items_uncovered_cr(scores: DataFrame, quality: DataFrame, params: ScanParams) -> DataFrame:
@@ -60,7 +60,7 @@ def items_uncovered_cr(scores: DataFrame, quality: DataFrame, params: ScanParams
         F.lit("not in any view").alias("recommendation"),
     )
     order = [F.desc("analytical_reads"), F.col("target"), F.col("full_table_name")]
-    return _items(described, "UNCOVERED_CR_TABLE", order, K.MAX_ITEMS)
+    return _items(described, "UNCOVERED_CR_TABLE", order, params.max_items)
 
 
 def missing_parts() -> Column:
@@ -81,7 +81,7 @@ def items_sv_quality(scores: DataFrame, quality: DataFrame, params: ScanParams)
         .otherwise("thin comments or few verified queries").alias("recommendation"),
     )
     order = [F.col("quality_score"), F.col("target")]
-    return _items(described, "SV_QUALITY_GAP", order, K.MAX_ITEMS)
+    return _items(described, "SV_QUALITY_GAP", order, params.max_items)
 
 
 def improvement_items(
@@ -89,21 +89,24 @@ def improvement_items(
 ) -> DataFrame:
     """Items of the one kind that fits each scope's gap; none for a healthy scope."""
     wanted = composite.select("scope", "gap")
-    by_gap = (
-        (items_schema_gap(scores, params), ("BUILD_CR_TABLES",)),
-        (items_uncovered_cr(scores, quality, params), ("BUILD_SVS", "EXPAND_SV_COVERAGE")),
-        (items_sv_quality(scores, quality, params), ("IMPROVE_SV_QUALITY",)),
+
+    def of(*gaps: str) -> DataFrame:
+        """Scores of the scopes with these gaps only, so that no others are grouped or ranked."""
+        return scores.join(wanted.where(F.col("gap").isin(*gaps)), "scope", "left_semi")
+
+    fitting = (
+        items_schema_gap(of("BUILD_CR_TABLES"), params),
+        items_uncovered_cr(of("BUILD_SVS", "EXPAND_SV_COVERAGE"), quality, params),
+        items_sv_quality(of("IMPROVE_SV_QUALITY"), quality, params),
     )
-    fitting = [
-        items.join(wanted.where(F.col("gap").isin(*gaps)), "scope", "left_semi")
-        for items, gaps in by_gap
-    ]
     return reduce(DataFrame.unionByName, fitting)
 
 
-def top_targets(composite: DataFrame, items: DataFrame) -> DataFrame:
+def top_targets(
+    composite: DataFrame, items: DataFrame, params: ScanParams
+) -> DataFrame:
     """Composite rows with the first targets as a list; empty for quality gaps and healthy."""
-    first = items.where(F.col("item_rank") <= K.MAX_TARGETS).groupBy("scope").agg(
+    first = items.where(F.col("item_rank") <= params.max_targets).groupBy("scope").agg(
         F.sort_array(F.collect_list(F.struct("item_rank", "target"))).alias("ranked")
     )
     some = F.col("ranked").isNotNull() & F.col("gap").isin(*TARGET_GAPS)

@@ -187,11 +187,10 @@ def _access_marks(access: DataFrame, params: ScanParams) -> DataFrame:
     objects = sides.select("written", F.explode("objects").alias("o")).where(
         F.col("o.objectDomain") == "Table"
     )
-    named = with_name_parts(objects.select(
-        F.col("o.objectName").alias("full_table_name"),
-        (~F.col("written")).alias("is_read"), F.col("written").alias("is_written"),
-    ))
-    return named.drop("full_table_name")
+    # Each logged name once, however often it was logged: it is split and upper-cased once too.
+    names = objects.groupBy(F.col("o.objectName").alias("full_table_name")).agg(
+        F.bool_or(~F.col("written")).alias("is_read"), F.bool_or("written").alias("is_written"))
+    return with_name_parts(names).drop("full_table_name")
 
 
 def _tag_marks(tags: DataFrame) -> DataFrame:

@@ -7,9 +7,6 @@ from datetime import date, datetime, timedelta
 
 ALL_DATABASES = "All databases"
 
-#: Sample size a scan starts from unless told otherwise; ``None`` means no sampling.
-DEFAULT_SAMPLE_PCT = 30
-
 
 @dataclass(frozen=True)
 class ScanParams:
@@ -25,6 +22,7 @@ class ScanParams:
     lookback_days: int = 30
     fresh_hours: int = 168
     scope: str | None = None
+    #: Percent of the queries looked at; None looks at all of them.
     sample_pct: int | None = None
     min_reads: int = 5
     min_total_reads: int = 10
@@ -49,6 +47,10 @@ class ScanParams:
     hosted_clients: tuple[str, ...] = ()
     #: Queries from which on a session is spread over several tasks.
     hot_queries: int = 10_000
+    #: Items listed per scope, and places that the summary names. Lists are made in one task per
+    #: scope, which from 1000 items on is given all of a scope's candidates.
+    max_items: int = 10
+    max_targets: int = 5
     account_name: str = "account"
     role_name: str = "role"
 

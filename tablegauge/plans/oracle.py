@@ -619,6 +619,8 @@ def _each_table(select: str) -> str:
 def oracle_sql() -> dict[str, str]:
     whole = {
         "cr_scores_stored": sql("select * from cr"),
+        "improvement_items_long": sql(f"select {_ITEM} from all_items").replace(
+            "item_rank <= 10", "item_rank <= 100"),
         "reads_per_table_from_facts": _both(
             sql(_PER_TABLE.format("null")),
             sql(_PER_TABLE.format(30), accesses=f"{_SAMPLE} and database_name = 'D1'")),
@@ -735,6 +737,10 @@ def oracle_sql() -> dict[str, str]:
         "six_factor_requirements": """select database_name, schema_name, factor, requirement, label,
             numerator, denominator, round(value, 6) as value, value >= 0.5 as passed,
             cast(null as varchar) as error from requirements""",
+        "six_factor_requirements_of_schemas": """select database_name, schema_name, factor,
+            requirement, label, numerator, denominator, round(value, 6) as value,
+            value >= 0.5 as passed, cast(null as varchar) as error from requirements
+            where schema_name in ('S1', 'S3')""",
         "six_factor_scores": """select database_name, schema_name, factor, round(score, 6) as score,
             round(overall, 6) as overall from factor_scores
             join overalls using (database_name, schema_name)""",

@@ -390,6 +390,12 @@ def improvement_items(e):
     return _scan(e).items
 
 
+@query
+def improvement_items_long(e):
+    """Up to a hundred items of every scope."""
+    return scan.full_scan(e, PARAMS.with_(max_items=100)).items
+
+
 @query
 def top_targets(e):
     return _listed(_scan(e).composite, "top_targets").select("scope", "gap", "top_targets")
@@ -441,6 +447,13 @@ def six_factor_requirements(e):
     return rounded(_requirements(e), "value")
 
 
+@query
+def six_factor_requirements_of_schemas(e):
+    """The requirements of two chosen schemas, named in either case."""
+    rows = sixfactor.six_factor_requirements(e, PARAMS, ["s1", "S3"])
+    return rounded(rows, "value")
+
+
 @query
 def six_factor_scores(e):
     return rounded(_factors(e), "score", "overall")

@@ -61,7 +61,7 @@ def full_scan(estate: Relations, params: ScanParams) -> Scan:
     scopes = scopes_of(estate, params)
     composite = settle(comp.composite_scores(scores, quality, params, scopes))
     todo = items.improvement_items(composite, scores, quality, params)
-    return Scan(scores, quality, items.top_targets(composite, todo), todo)
+    return Scan(scores, quality, items.top_targets(composite, todo, params), todo)
 
 
 def save_scan(

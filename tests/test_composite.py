@@ -27,7 +27,7 @@ def scan(spark, params):
         scopes = spark.createDataFrame([("D",), ("EMPTY",)], "scope string")
         result = comp.composite_scores(scores, quality, params, scopes)
         todo = items.improvement_items(result, scores, quality, params)
-        full = items.top_targets(result, todo)
+        full = items.top_targets(result, todo, params)
         text = full.select("scope", comp.recommendation_text("acme").alias("text"))
         by_scope = {r.scope: r for r in full.join(text, "scope").collect()}
         return by_scope, sorted(todo.collect(), key=lambda r: r.item_rank)
@@ -46,7 +46,7 @@ def test_an_unread_scope_still_has_a_row(scan):
     got, todo = scan([("a", 10, 0.9)])
     empty = got["EMPTY"]
     assert (empty.gap, empty.n_all_scored, empty.ai_readiness) == ("BUILD_CR_TABLES", 0, 0.0)
-    assert empty.top_targets == [] and "no consumption-ready tables" in empty.text
+    assert empty.top_targets == [] and "0% (weak, 0 ready); to do: prepare busy tables" in empty.text
     assert {r.scope for r in todo} == {"D"}
 
 
@@ -61,7 +61,7 @@ def test_schema_gap_items(scan):
     assert got["D"].gap == "BUILD_CR_TABLES" and got["D"].top_targets == ["D.S"]
     assert (item.item_type, item.target) == ("SCHEMA_GAP", "D.S")
     assert item.detail == "2,500 reads across 2 tables, 1 CR"
-    assert "1,500 reads" in item.recommendation and "busiest areas: D.S" in got["D"].text
+    assert "1,500 reads" in item.recommendation and got["D"].text.endswith("to do: prepare busy tables in D.S")
 
 
 def test_small_schemas_are_no_items(scan):

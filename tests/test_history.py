@@ -169,5 +169,5 @@ def test_probes(spark):
 
 def test_a_database_named_like_a_number_keeps_its_name(spark, frame, tmp_path):
     runs = frame(schemas.SCAN_RUNS, run("a", "007"))
-    history.append_history(runs, frame(schemas.SCAN_IMPROVEMENT_ITEMS), str(tmp_path))
+    history.append_history(runs, frame(schemas.SCAN_IMPROVEMENT_ITEMS), str(tmp_path), "c")
     assert history.load_runs(spark, str(tmp_path)).select(F.first("database_filter")).first()[0] == "007"

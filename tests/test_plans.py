@@ -57,8 +57,7 @@ def test_logs_are_scanned_once_for_counts_and_median(estate):
     frame = reads.reads_per_table(reads.reads_joined(*logs, PARAMS), PARAMS)
     final = plan(frame, run=True).split("Initial Plan")[0]
     assert "ReusedExchange" in final
-    # Both logs, the sessions, and the session ids of the queries, which are counted.
-    assert final.count("FileScan parquet") == 4
+    assert final.count("FileScan parquet") == 3  # without the count of sessions, none of them hot
 
 
 def test_only_needed_columns_and_dates_are_read(stored):
@@ -67,7 +66,7 @@ def test_only_needed_columns_and_dates_are_read(stored):
     scans = re.findall(r"FileScan parquet \[([^\]]*)\].*", text)
     assert not any("query_type" in s and "base_objects_accessed" in s for s in scans)
     logs = [line for line in text.split("\n") if "FileScan" in line and "log_date" in line]
-    assert len(logs) == 2
+    assert len(logs) == 4  # queries per session are counted first, for either side of their join
     for line in logs:
         assert "PartitionFilters: [isnotnull(log_date" in line
 
@@ -82,13 +81,21 @@ def test_logs_in_buckets_are_joined_where_they_lie(spark, estate, tmp_path):
         estate[name].write.parquet(f"{root}/{name}")
     kept = stored_logs.StoredEstate(spark, root, buckets)
     assert kept["access_history"].count() == estate["access_history"].count()
-    text = plan(reads.reads_joined(*[kept[n] for n in scan.LOGS[:3]], PARAMS))
-    logs = [line for line in text.split("\n") if "FileScan" in line and "query_id" in line]
-    assert len(logs) == 2
-    for line in logs:
-        assert "PartitionFilters: [isnotnull(log_date" in line and "Bucketed: true" in line
-    # Nothing is exchanged by query id; the sessions and the hot list go to the rows.
-    assert "hashpartitioning(query_id" not in text and "SortMergeJoin [query_id" in text
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    try:  # as if nothing were small
+        spark.conf.set(threshold, "-1")
+        joined = plan(reads.reads_joined(*[kept[n] for n in scan.LOGS[:3]], PARAMS))
+    finally:
+        spark.conf.set(threshold, before)
+    logs = [line for line in joined.split("\n") if "FileScan" in line and "log_date" in line]
+    assert logs and all("PartitionFilters: [isnotnull(log_date" in line for line in logs)
+    access = next(line for line in logs if "base_objects_accessed" in line)
+    assert "Bucketed: true" in access
+    # The queries with their clients go to the buckets; the access log stays.
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+, 3\)", joined)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id", joined)) == 1
+    assert "SortMergeJoin [query_id" in joined
     one, two = scan.scores_of(kept, PARAMS), scan.scores_of(estate, PARAMS)
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 

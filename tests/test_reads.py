@@ -177,7 +177,7 @@ def test_percent_ranks_equal_the_window(spark, most):
     want = frame.selectExpr(
         "*", "percent_rank() over (partition by scope order by v) as r",
         "percent_rank() over (partition by scope order by w) as s")
-    assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
 
 
 def test_table_rows_stay_where_they_are_for_their_ranks(spark, params):
