@@ -12,6 +12,7 @@ Texts are tokenized once. ``place`` gives the places, ``sequences`` the packed t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from tablegauge.llm.common import CELL_ROWS, ranked, stored
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
+#: White space on which the fast library's pattern would run out of stack.
+LONG_SPACE = re.compile(r"\s{10000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,7 +35,8 @@ class Encoder:
     """Token ids as the tokenizers library gives them for ``<vocabulary>.json``.
 
     The same vocabulary as ranks is several times faster and gives the same ids; a text that
-    holds the special token's string goes through the slower library.
+    holds the special token's string or a very long run of white space goes through the slower
+    library.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -51,7 +55,7 @@ class Encoder:
             special_tokens={})
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if text and SPECIAL in text:
+        if text and (SPECIAL in text or LONG_SPACE.search(text)):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -224,10 +228,8 @@ def place(
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.assign(sequence_id=sequence, offset=offset)
 
-    cells = F.lit(1)
-    for size, n in counts.items():
-        if n > CELL_ROWS:
-            cells = F.when(F.col("length") == size, -(-n // CELL_ROWS)).otherwise(cells)
+    per_length = [-(-counts.get(size, 1) // CELL_ROWS) for size in range(length + 1)]
+    cells = F.get(F.lit(per_length), F.col("length").cast("int"))
     return ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], cells).mapInPandas(
         assign, f"{PIECES}, sequence_id long, offset long")
 
