@@ -79,9 +79,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = HEADINGS | frozenset(
     "p li ul ol dl dt dd table thead tbody tfoot tr td th blockquote pre figure section".split())
 
+# Every character is matched in one way only, and a tag that the page's end cuts off ends with it:
+# the time does not grow faster than the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
-    r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
+    r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[A-Za-z]+")
 #: A path counts as content from this share of the standard deviation of the scores on.
@@ -189,7 +191,7 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             break
         add(html[position:token.start()])
         position = token.end()
-        end, start, raw, _ = token.group(1, 2, 3, 4)
+        end, start, raw = token.group(1, 2, 3)
         if end:
             end = end.lower()
             if end == "br":
