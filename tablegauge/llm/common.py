@@ -35,6 +35,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing will read again."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every intermediate table of this application; results must be written before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
