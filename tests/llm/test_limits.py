@@ -1,10 +1,11 @@
 """Rows that once stopped a task: cut pages, long white space, many pieces of many lengths."""
 
+import random
 import time
 
 import pytest
 
-from tablegauge.llm import html, packing
+from tablegauge.llm import html, ngrams, packing
 
 
 @pytest.mark.parametrize("page", [
@@ -42,3 +43,31 @@ def test_many_pieces_of_many_lengths(spark, monkeypatch):
         ends = part["length"].cumsum().to_numpy()
         assert ends[-1] <= 1024 and part["offset"].iloc[0] == 0
         assert (part["offset"].to_numpy()[1:] == ends[:-1]).all()
+
+
+@pytest.mark.parametrize("block", [1, 7, 1_000_000])
+def test_shingles_are_those_of_the_words(block, monkeypatch):
+    """Keys and sets against words split by Python, whatever the size of a block."""
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", block)
+    random.seed(3)
+    parts = ["a", "B", "b", "Ab", "ab", "ÄÖ", "x" * 300, "x" * 301, "\x1c", "\xa0", *" \t\n\x0b\x0c\r"]
+    texts = [b"", b" ", b"\n", b"a", b" a ", b"A"] + [
+        "".join(random.choices(parts, k=random.choice([1, 2, 5, 40, 400]))).encode()
+        for _ in range(600)]
+    keys, sets = ngrams._cut(texts, 3)
+    by_key, by_set = {}, {}
+    for text, key, found in zip(texts, keys, sets, strict=True):
+        words = tuple(text.lower().split())
+        n = min(3, len(words))
+        grams = frozenset(words[i:i + n] for i in range(len(words) - n + 1)) if words else frozenset()
+        assert (key is None) == (not words) and len(found) == len(grams)
+        assert by_key.setdefault(key, words) == words
+        assert by_set.setdefault(tuple(found), grams) == grams
+    assert len(set(by_key.values())) == len(by_key) and len(set(by_set.values())) == len(by_set)
+
+
+def test_different_texts_of_one_id_all_stay(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngrams.one_of_each(docs).collect())
+    assert kept == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z")]
