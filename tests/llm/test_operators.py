@@ -409,6 +409,34 @@ def test_nearest_neighbours(spark):
     assert found >= 0.9 * len(got) and set(got["query_id"]) == set(range(0, len(x), 20))
 
 
+def recall(x, got, every):
+    found = 0
+    for i in range(0, len(x), every):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        mine = got[got["query_id"] == i].sort_values("rank")
+        assert np.allclose(mine["score"], np.sqrt(d[mine["vec_id"]]))
+        found += len(set(np.lexsort((np.arange(len(x)), d))[:10]) & set(mine["vec_id"]))
+    return found / len(got)
+
+
+@pytest.mark.parametrize("shape", ["one far larger", "far from zero", "a third alike"])
+def test_nearest_neighbours_over_several_cells(spark, shape):
+    random = np.random.default_rng(8)
+    x = random.standard_normal((2_500, 32))
+    if shape == "one far larger":
+        x[17] *= 1e9
+    elif shape == "far from zero":
+        x += 1000
+    else:
+        x[::3] = x[0] + 0.01 * random.standard_normal((len(x[::3]), 32))
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame(
+        [(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nndescent.search(frame, frame.filter("vec_id % 50 = 0"), 10).toPandas()
+    assert len(got) == 500 and recall(x.astype(float), got, 50) >= 0.95
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOC)
     vectors = spark.createDataFrame([], VECTORS)
