@@ -17,6 +17,17 @@ from tablegauge.sources.schemas import INPUTS, LOG_TIMES
 
 #: Both logs are cut and sorted by it.
 QUERY_ID = "query_id"
+#: Rows of the larger log that one bucket holds at first; one task sorts and joins them.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(rows: int, least: int = 1) -> int:
+    """Buckets for logs of which the larger one has so many rows.
+
+    A bucket is sorted by one task when it is written and joined by one when it is read, so their
+    number follows the rows. Both logs, and all later appends, take the same number.
+    """
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def _declared(spark: SparkSession, root: str, name: str, buckets: int) -> str:

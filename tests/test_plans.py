@@ -100,6 +100,20 @@ def test_logs_in_buckets_are_joined_where_they_lie(spark, estate, tmp_path):
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
+def test_buckets_follow_the_rows_of_the_logs(spark, estate, monkeypatch):
+    assert [stored_logs.buckets_for(n, 4) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [
+        4, 4, 5, 216]
+    cut = []
+    append = stored_logs.append_log
+    monkeypatch.setattr(stored_logs, "BUCKET_ROWS", 700)
+    monkeypatch.setattr(stored_logs, "append_log", lambda df, root, name, buckets: (
+        cut.append(buckets), append(df, root, name, buckets)))
+    scores = entry_points.queries()["cr_scores_stored"](spark, SMALL)
+    assert cut == [-(-estate["access_history"].count() // 700)] * 2 and cut[0] > 4
+    derived = scan.scores_of(estate, PARAMS)
+    assert scores.exceptAll(derived).isEmpty() and derived.exceptAll(scores).isEmpty()
+
+
 def test_stored_estate_scores_like_the_derived_one(stored, estate):
     one, two = scan.scores_of(stored, PARAMS), scan.scores_of(estate, PARAMS)
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
