@@ -55,23 +55,31 @@ def axis_position(value: Column, end: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), value / end * 100))
 
 
-def peer_comparison(runs: DataFrame) -> DataFrame:
-    """Each run's scores beside the medians of its peers, with positions on a common scale."""
-    ends = runs.select("run_id", axis_max().alias("axis_max"), *K.DIMENSION_COLUMNS.values())
-    own = ends.select("run_id", "axis_max", F.inline(F.array(*[
-        F.struct(
-            F.lit(dimension).alias("dimension"),
-            F.round(F.coalesce(column, F.lit(0.0)), 1).alias("score"),
-        )
+def peer_comparison(runs: DataFrame, digits: int | None = None) -> DataFrame:
+    """Each run's scores beside the medians of its peers, with positions on a common scale.
+
+    A run gives 50 rows, so the runs are spread over the tasks before they are multiplied, however
+    few files they come from. ``digits`` rounds the positions.
+    """
+    def position(value: Column, end: Column) -> Column:
+        place = axis_position(value, end)
+        # Places lie within 0 and 100: a whole number and a division take a tenth of round()'s time.
+        return place if digits is None else F.floor(place * 10 ** digits + 0.5) / 10.0 ** digits
+
+    ends = runs.select("run_id", axis_max().alias("axis_max"), *[
+        F.round(F.coalesce(column, F.lit(0.0)), 1).alias(dimension)
         for dimension, column in K.DIMENSION_COLUMNS.items()
+    ]).repartition("run_id")
+    own = ends.select("run_id", "axis_max", F.inline(F.array(*[
+        F.struct(F.lit(dimension).alias("dimension"), F.col(dimension).alias("score"))
+        for dimension in K.DIMENSION_COLUMNS
     ])))
     peers = F.broadcast(peer_medians(runs.sparkSession))  # 50 fixed rows
     end = F.col("axis_max")
-    return own.join(peers, "dimension").select(
-        "run_id", "dimension", "axis_max", "score",
-        axis_position(F.col("score"), end).alias("score_pos"),
-        "peer", "peer_median",
-        axis_position(F.col("peer_median"), end).alias("peer_pos"),
+    placed = own.withColumn("score_pos", position(F.col("score"), end))
+    return placed.join(peers, "dimension").select(
+        "run_id", "dimension", "axis_max", "score", "score_pos", "peer", "peer_median",
+        position(F.col("peer_median"), end).alias("peer_pos"),
     )
 
 

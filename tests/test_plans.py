@@ -155,3 +155,24 @@ def test_only_the_fixed_peer_table_is_broadcast_by_hint(estate):
     assert "ResolvedHint (strategy=broadcast)" not in history.history_items(
         estate["scan_runs"], estate["scan_improvement_items"]
     )._jdf.queryExecution().analyzed().toString()
+def test_runs_are_spread_before_they_are_multiplied(estate):
+    text = plan(report.peer_comparison(estate["scan_runs"]))
+    assert text.index("BroadcastHashJoin") < text.index("Exchange hashpartitioning(run_id")
+
+
+def test_rounded_positions_are_those_of_round(estate):
+    plain, own = (report.peer_comparison(estate["scan_runs"], digits) for digits in (None, 6))
+    by_round = plain.withColumns({c: F.round(c, 6) for c in ("score_pos", "peer_pos")})
+    assert own.count() > 0 and own.exceptAll(by_round).isEmpty()
+
+
+def test_parts_of_views_are_grouped_once(spark, estate):
+    """Views with and without base tables come from one shuffle of the views' parts."""
+    quality = scan.quality_of(estate)
+    final = plan(quality, run=True).split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+    # The relationships are read for the parts only.
+    lineitem = [line for line in final.split("\n") if "FileScan" in line and "/lineitem" in line]
+    assert sum("l_suppkey#" in s and "l_quantity#" not in s for s in lineitem) == 1
+
+
