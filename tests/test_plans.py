@@ -135,6 +135,17 @@ def test_a_scan_of_one_database_is_its_row_of_the_whole_scan(estate):
         assert got and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_scans_of_several_scopes_share_the_logs(estate):
+    inputs = scan.inputs_of(estate, PARAMS.with_(scope="D1"))
+    bare = {name: estate[name] for name in estate if name not in scan.LOGS}  # no logs at all
+    one, alone = PARAMS.with_(scope="D1"), scan.full_scan(estate, PARAMS.with_(scope="D1"))
+    shared = scan.full_scan(bare, one, inputs, alone.quality)
+    for mine, theirs in ((shared.scores, alone.scores), (shared.composite, alone.composite),
+                         (shared.items, alone.items)):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, theirs.collect()))
+    assert not shared.scores.isEmpty()
+
+
 def test_absent_relations(spark):
     partial = Estate(spark, "/nowhere", absent=("tag_references",))
     assert "tag_references" not in partial and "tables" in partial
@@ -149,12 +160,6 @@ def test_top_rows_are_cut_before_the_shuffle(spark, estate):
         assert plan(frame).count("WindowGroupLimit") == 2
 
 
-def test_only_the_fixed_peer_table_is_broadcast_by_hint(estate):
-    frame = report.peer_comparison(estate["scan_runs"])
-    assert "BroadcastHashJoin" in plan(frame)
-    assert "ResolvedHint (strategy=broadcast)" not in history.history_items(
-        estate["scan_runs"], estate["scan_improvement_items"]
-    )._jdf.queryExecution().analyzed().toString()
 def test_runs_are_spread_before_they_are_multiplied(estate):
     text = plan(report.peer_comparison(estate["scan_runs"]))
     assert text.index("BroadcastHashJoin") < text.index("Exchange hashpartitioning(run_id")
@@ -176,3 +181,9 @@ def test_parts_of_views_are_grouped_once(spark, estate):
     assert sum("l_suppkey#" in s and "l_quantity#" not in s for s in lineitem) == 1
 
 
+def test_only_the_fixed_peer_table_is_broadcast_by_hint(estate):
+    frame = report.peer_comparison(estate["scan_runs"])
+    assert "BroadcastHashJoin" in plan(frame)
+    assert "ResolvedHint (strategy=broadcast)" not in history.history_items(
+        estate["scan_runs"], estate["scan_improvement_items"]
+    )._jdf.queryExecution().analyzed().toString()
