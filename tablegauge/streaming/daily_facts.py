@@ -78,35 +78,49 @@ def changed_days(new: DataFrame, logs: Relations, params: ScanParams) -> list[st
     """Dates since the window's start whose reads are changed by new log rows.
 
     ``new`` is a batch of :func:`arrivals`. An access row changes its own date. A query or
-    session row changes the dates of the accesses it belongs to, which are looked up by id.
+    session row changes the dates of the accesses it belongs to, which are looked up by id, but
+    among the dates only that no new access changes anyway: when there are none, no log is joined.
     The result has at most one entry per date.
     """
     def ids(kind: str) -> DataFrame:
         return new.where(F.col("kind") == kind).select("id").distinct()
 
-    accesses = in_dates(logs["access_history"], "query_start_time", params, open_end=True)
-    queries = in_dates(logs["query_history"], "start_time", params, open_end=True)
-    named = queries.join(ids("session"), F.col("session_id") == F.col("id"), "left_semi")
-    touched = ids("query").unionByName(named.select(F.col("query_id").alias("id")).distinct())
-    found = accesses.join(touched, F.col("query_id") == F.col("id"), "left_semi").select(
-        F.to_date("query_start_time").alias(DAY))
-    own = in_dates(new.where(F.col("kind") == "access"), "seen", params, open_end=True).select(
-        F.to_date("seen").alias(DAY))
-    return sorted(str(row[DAY]) for row in own.unionByName(found).distinct().collect())
+    def days(rows: DataFrame, seen: str) -> list:
+        return [row[DAY] for row in rows.select(F.to_date(seen).alias(DAY)).distinct().collect()]
+
+    own = days(in_dates(
+        new.where(F.col("kind") == "access"), "seen", params, open_end=True), "seen")
+    accesses = _of_days(
+        in_dates(logs["access_history"], "query_start_time", params, open_end=True), own, False)
+    if accesses.isEmpty():
+        return sorted(map(str, own))
+    new = new.persist()
+    try:
+        queries = in_dates(logs["query_history"], "start_time", params, open_end=True)
+        named = queries.join(ids("session"), F.col("session_id") == F.col("id"), "left_semi")
+        touched = ids("query").unionByName(named.select(F.col("query_id").alias("id")).distinct())
+        found = accesses.join(touched, F.col("query_id") == F.col("id"), "left_semi")
+        return sorted(map(str, own + days(found, "query_start_time")))
+    finally:
+        new.unpersist()
+
+
+def _of_days(access: DataFrame, days: list, inside: bool) -> DataFrame:
+    """Accesses of the given dates, or of all others; a log laid out by date is pruned."""
+    dates = [F.lit(str(day)).cast("date") for day in days]
+    for column in (F.to_date("query_start_time"), *(
+            [F.col(LOG_DATE)] if LOG_DATE in access.columns else [])):
+        access = access.where(column.isin(dates) if inside else ~column.isin(dates))
+    return access
 
 
 def store_days(logs: Relations, days: list[str], folder: str, params: ScanParams) -> None:
     """Count the given dates from the logs and replace their facts."""
     if not days:
         return
-    access = logs["access_history"]
-    dates = [F.lit(day).cast("date") for day in days]
-    for column in (F.to_date("query_start_time"), *(
-            [F.col(LOG_DATE)] if LOG_DATE in access.columns else [])):
-        access = access.where(column.isin(dates))
     facts = dated_facts({
-        "access_history": access, "query_history": logs["query_history"],
-        "sessions": logs["sessions"]}, params)
+        "access_history": _of_days(logs["access_history"], days, True),
+        "query_history": logs["query_history"], "sessions": logs["sessions"]}, params)
     # Ranges keep a table's facts together, yet split a table of any size by its buckets.
     key = (DAY, "fact", NAME, BUCKET)
     (
@@ -125,12 +139,8 @@ def keep_daily_facts(
     file that its stream has shown.
     """
     def count(new: DataFrame, batch: int) -> None:
-        new = new.persist()
-        try:
-            tables = logs()
-            store_days(tables, changed_days(new, tables, params), folder, params)
-        finally:
-            new.unpersist()
+        tables = logs()
+        store_days(tables, changed_days(new, tables, params), folder, params)
 
     return (
         arrivals(streams).writeStream.foreachBatch(count)

@@ -110,6 +110,21 @@ def test_only_changed_days_are_counted(spark, skewed, tmp_path):
     logs.check(PARAMS)
 
 
+def test_no_log_is_joined_when_new_accesses_change_all_days(spark, skewed, tmp_path):
+    logs = Logs(spark, tmp_path)
+    logs.add("access_history", skewed["access_history"])
+    access = logs.tables()["access_history"]
+    new = access.selectExpr(
+        "'access' as kind", "query_id as id", "query_start_time as seen")
+    start = PARAMS.window_start
+    want = [str(r[0]) for r in access.where(F.col("log_date") >= F.lit(str(start)).cast("date"))
+            .select("log_date").distinct().orderBy("log_date").collect()]
+    only = {"access_history": access}  # queries and sessions cannot be opened
+    assert want and daily_facts.changed_days(new, only, PARAMS) == want
+    with pytest.raises(KeyError):  # another day's accesses must be looked up
+        daily_facts.changed_days(new.where("seen < '2024-01-30'"), only, PARAMS)
+
+
 def derived_time(day):
     import datetime as dt
     return dt.datetime.fromisoformat(day)
