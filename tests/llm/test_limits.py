@@ -2,10 +2,11 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 
-from tablegauge.llm import html, ngrams, packing
+from tablegauge.llm import common, html, ngrams, packing
 
 
 @pytest.mark.parametrize("page", [
@@ -71,3 +72,15 @@ def test_different_texts_of_one_id_all_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngrams.one_of_each(docs).collect())
     assert kept == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "u v w x y z")]
+
+
+def test_near_copies_leave_one_stored_table(spark):
+    """What a join stored on the way is removed; its result can be read again and again."""
+    texts = ["a b c d e f g h i j k l", "a b c d e f g h i j k l", "x y z", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(common.run_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    result = ngrams.join(docs)
+    assert len(set(folder.glob("*")) - before) == 1
+    for _ in range(2):
+        assert sorted(map(tuple, result.collect())) == [(0, 10, 0), (1, 10, 0), (2, 1, 2), (3, 0, 3)]
