@@ -4,6 +4,7 @@ import random
 import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tablegauge.llm import common, html, ngrams, packing
@@ -84,3 +85,42 @@ def test_near_copies_leave_one_stored_table(spark):
     assert len(set(folder.glob("*")) - before) == 1
     for _ in range(2):
         assert sorted(map(tuple, result.collect())) == [(0, 10, 0), (1, 10, 0), (2, 1, 2), (3, 0, 3)]
+
+
+@pytest.mark.parametrize("frequent", [1, 2, 100])
+def test_prefixes_are_moved_once_and_sets_of_near_pairs_only(spark, monkeypatch, frequent):
+    """Whatever counts as frequent, entries are made once and unlike texts are not compared."""
+    plans, near = [], []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        table = common.stored(df)
+        if df.columns == ["a", "b"]:
+            near.append(table.count())
+        return table
+
+    monkeypatch.setattr(ngrams, "stored", noted)
+    monkeypatch.setattr(ngrams, "FREQUENT", frequent)
+    random.seed(5)
+    shared = [f"s{i}" for i in range(60)]  # every text has these, in its own order, and 10 pairs are alike
+    texts = []
+    for i in range(20):
+        words = shared + [f"u{i}x{k}" for k in range(40)]
+        random.shuffle(words)
+        texts += [" ".join(words), " ".join([*words[:-1], "last"])] if i < 10 else [" ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngrams.join(docs, 1, 90).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(30)}
+    assert sum(p.count("posexplode") for p in plans) == 1
+    assert near and max(near[-2:]) <= 10
+
+
+def test_marks_differ_in_no_more_bits_than_sets():
+    random.seed(9)
+    for n in (0, 1, 50, 3_000):
+        a = np.array(random.sample(range(-2**63, 2**63, 7), n), np.int64)
+        for common_part in (0, n // 2, n - n // 20):
+            b = np.concatenate([a[:common_part], np.array(
+                random.sample(range(-2**63 + 1, 2**63, 7), n // 2), np.int64)])
+            bits = sum(bin(x & 2**64 - 1).count("1") for x in (ngrams._mark(a) ^ ngrams._mark(b)).tolist())
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
