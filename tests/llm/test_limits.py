@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablegauge.llm import common, html, ngrams, packing
 
@@ -124,3 +125,23 @@ def test_marks_differ_in_no_more_bits_than_sets():
                 random.sample(range(-2**63 + 1, 2**63, 7), n // 2), np.int64)])
             bits = sum(bin(x & 2**64 - 1).count("1") for x in (ngrams._mark(a) ^ ngrams._mark(b)).tolist())
             assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_bounds_of_parts_rule_out_unlike_ones_and_no_link(spark):
+    """Parts of groups that hold a link stay together, those of unlike texts become no pair."""
+    random.seed(11)
+    alike, sets, rows = ngrams.Alike(1, 90), {}, []
+    for family in range(8):
+        base = random.sample(range(-2**63, 2**63, 7), 200)
+        for _ in range(4):  # heads 0 and 1 of a family have two members each, all near copies
+            node = len(sets)
+            sets[node] = np.array(base[:196] + random.sample(range(-2**63 + 1, 2**63, 7), 4), np.int64)
+            rows.append((node, 2 * family + node % 2, family, 200, ngrams._mark(sets[node]).tolist()))
+    frame = spark.createDataFrame(
+        rows, "node long, head long, component long, n int, mark array<long>")
+    found = ngrams._bounds(frame.drop("mark"), frame.select("node", "mark"))
+    a = found.select(F.col("head").alias("a"), F.col("bounds").alias("x"))
+    b = found.select(F.col("head").alias("b"), F.col("bounds").alias("y"))
+    kept = a.crossJoin(b).filter(~alike.apart(F.col("x"), F.col("y"))).select("a", "b").collect()
+    assert {(r["a"], r["b"]) for r in kept} == {
+        (i, j) for i in range(16) for j in range(16) if i // 2 == j // 2}
