@@ -459,3 +459,51 @@ def test_the_chat_query_digests_as_named(spark):
         assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (
             len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
+def test_a_walk_is_one_row_per_query_and_expands_the_nearest(spark, monkeypatch):
+    """The walk's state holds a query's nodes in one row, and sees what a plain walk sees."""
+    states, nndescent_stored = [], nndescent.stored
+
+    def noted(df):
+        table = nndescent_stored(df)
+        if "done" in df.columns:
+            states.append(table.count())
+        return table
+
+    monkeypatch.setattr(nndescent, "stored", noted)
+    monkeypatch.setattr(nndescent, "WIDTH", 8)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 4)).astype(np.float32)
+    links = {i: sorted({*rng.integers(0, 300, 5).tolist()} - {i}) for i in range(300)}
+    asked = range(0, 300, 15)
+    found = spark.createDataFrame(
+        [(i, bytearray(x[i].tobytes())) for i in range(300)], "node long, packed binary")
+    queries = spark.createDataFrame(
+        [(q, bytearray(x[q].tobytes()), [q, 7]) for q in asked],
+        "query long, packed binary, start array<long>")
+    got = nndescent.walk(
+        spark.createDataFrame([(i, j) for i in links for j in links[i]], "node long, other long"),
+        found, queries, 3, 5).collect()
+    assert states and set(states) == {len(asked)}
+
+    def far(q, i):
+        return float(((x[i].astype(float) - x[q].astype(float)) ** 2).sum())
+
+    seen, done = {q: {q, 7} for q in asked}, {q: set() for q in asked}
+    width, answer = 8, None
+    while True:
+        while True:
+            fronts = {q: [i for i in sorted(seen[q], key=lambda i: (far(q, i), i))[:width]
+                          if i not in done[q]][:-(-width // nndescent.STEPS)] for q in asked}
+            if not any(fronts.values()):
+                break
+            for q, front in fronts.items():
+                done[q] |= set(front)
+                seen[q] |= {j for i in front for j in links[i]}
+        nearest = {(q, i) for q in asked for i in sorted(seen[q], key=lambda i: (far(q, i), i))[:3]}
+        if answer is not None and len(nearest - answer) <= nndescent.NEW_FOUND * len(nearest):
+            break
+        width, answer = 2 * width, nearest
+    assert {(r["query"], r["node"]) for r in got} == {
+        (q, i) for q in asked for i in sorted(seen[q], key=lambda i: (far(q, i), i))[:8]}
