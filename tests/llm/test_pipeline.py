@@ -1,5 +1,7 @@
 """The pipeline's stages take effect on what each has received."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tablegauge.llm import secrets
 from tablegauge.llm.common import stored
@@ -17,3 +19,15 @@ def test_stages(spark):
     assert not any(secrets.base_spans(r["text"]) for r in docs.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    try:
+        spark.conf.set(key, 10_000)
+        corpus_pipeline.without_secrets(spark, docs.withColumn("n_chars", F.lit(5)), "")
+        assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
