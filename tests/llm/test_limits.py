@@ -145,3 +145,21 @@ def test_bounds_of_parts_rule_out_unlike_ones_and_no_link(spark):
     kept = a.crossJoin(b).filter(~alike.apart(F.col("x"), F.col("y"))).select("a", "b").collect()
     assert {(r["a"], r["b"]) for r in kept} == {
         (i, j) for i in range(16) for j in range(16) if i // 2 == j // 2}
+
+
+def test_parts_make_a_pair_where_they_first_meet(spark):
+    """Every two parts that share a shingle become a pair, near copies hardly more than once."""
+    random.seed(13)
+    base, rows, sets = list(range(400)), [], {}
+    for head in range(12):  # the last one has little in common with the others
+        own = random.sample(base, 300) if head < 11 else random.sample(base, 3)
+        sets[head] = set(own)
+        rows += [(token, head, head, 400 - rank) for rank, token in enumerate(sorted(own))]
+    random.shuffle(rows)
+    met = ngrams._met(spark.createDataFrame(rows, "token long, head long, component long, from int"))
+    a = met.select("token", F.col("head").alias("a"), F.col("before").alias("x"))
+    b = met.select("token", F.col("head").alias("b"), F.col("before").alias("y"))
+    kept = a.join(b, "token").filter("a < b").filter(~F.arrays_overlap("x", "y")).select("a", "b").collect()
+    pairs = {(i, j) for i in sets for j in sets if i < j and sets[i] & sets[j]}
+    assert {tuple(r) for r in kept} == pairs
+    assert len(kept) <= 2 * len(pairs) < sum(len(sets[i] & sets[j]) for i, j in pairs) / 20
