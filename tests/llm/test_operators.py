@@ -461,6 +461,28 @@ def test_the_chat_query_digests_as_named(spark):
             len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def test_what_a_walk_has_seen_moves_as_bytes(spark, monkeypatch):
+    """No step takes up the numbers that queries have seen; a graph's edges move once a round."""
+    kinds, plans, nndescent_stored = [], [], nndescent.stored
+
+    def noted(df):
+        if "done" in df.columns:
+            kinds.append([df.schema[c].dataType.simpleString() for c in ("node", "d", "done")])
+        if df.columns == ["node", "other", "d", "fresh"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return nndescent_stored(df)
+
+    monkeypatch.setattr(nndescent, "stored", noted)
+    x = np.random.default_rng(5).standard_normal((1_200, 8)).astype(np.float32)
+    frame = spark.createDataFrame(
+        [(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nndescent.search(frame, frame.filter("vec_id % 100 = 0"), 10).toPandas()
+    assert recall(x.astype(float), got, 100) >= 0.95
+    assert kinds and all(k == ["binary"] * 3 for k in kinds)
+    moved = [p.count("hashpartitioning(node") for p in plans]
+    assert len(moved) > 1 and moved[0] == 1
+
+
 def test_a_walk_is_one_row_per_query_and_expands_the_nearest(spark, monkeypatch):
     """The walk's state holds a query's nodes in one row, and sees what a plain walk sees."""
     states, nndescent_stored = [], nndescent.stored
