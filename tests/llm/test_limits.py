@@ -1,14 +1,16 @@
 """Rows that once stopped a task: cut pages, long white space, many pieces of many lengths."""
 
+import math
 import random
 import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablegauge.llm import common, html, ngrams, packing
+from tablegauge.llm import common, graph, html, ngrams, packing
 
 
 @pytest.mark.parametrize("page", [
@@ -163,3 +165,41 @@ def test_parts_make_a_pair_where_they_first_meet(spark):
     pairs = {(i, j) for i in sets for j in sets if i < j and sets[i] & sets[j]}
     assert {tuple(r) for r in kept} == pairs
     assert len(kept) <= 2 * len(pairs) < sum(len(sets[i] & sets[j]) for i, j in pairs) / 20
+
+
+def _brute_prefixes(texts, alike, frequent=1):
+    """(node, n, token, rank) of prefix shingles of several texts, counted over all of them."""
+    sets = {i: ngrams._cut([(t or "").encode()], alike.words)[1][0].tolist() for i, t in texts}
+    times = Counter(token for found in sets.values() for token in found)
+    prefixes = {}
+    for i, found in sets.items():
+        found.sort(key=lambda x: (times[x] > 1 and max(times[x], frequent), x))
+        n = len(found)
+        reach = min(n, n - math.ceil(n * alike.percent / 100)
+                    + (n - math.ceil(n * alike.percent / 100) + 1) // 5 + 1)
+        prefixes[i] = found[:reach]
+    met = Counter(token for prefix in prefixes.values() for token in prefix)
+    return sorted((i, len(sets[i]), token, rank) for i, prefix in prefixes.items()
+                  for rank, token in enumerate(prefix) if met[token] > 1)
+
+
+def test_shingles_are_counted_over_all_texts(spark):
+    """Frequencies are of the whole input, with no bound on the texts or on the frequent shingles."""
+    random.seed(11)
+    texts = [(i, " ".join([f"w{int(random.paretovariate(0.6))}" for _ in range(8)] + [f"u{i}"]))
+             for i in range(16_000)] + [(16_000, None), (16_001, " "), (16_002, "w1")]
+    alike = ngrams.Alike(1, 50)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ngrams._prefixes(ngrams.cut_texts(docs, alike)).select("node", "n", "token", "rank")
+    assert sorted(map(tuple, got.collect())) == _brute_prefixes(texts, alike)
+
+
+def test_one_task_connects_what_rounds_connect(spark):
+    random.seed(13)
+    edges = [(i, i + 1) for i in range(60)] + [(200 - i, 199 - i) for i in range(40)] + [(5, 5), (None, 7)]
+    edges += [(random.randrange(300, 900), random.randrange(300, 900)) for _ in range(300)]
+    random.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = [sorted(map(tuple, graph.components(frame, n).collect())) for n in (0, 1_000)]
+    assert got[0] == got[1] and len(got[0]) > 100
+    assert graph.components(frame.limit(0), 1_000).count() == 0
