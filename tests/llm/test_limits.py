@@ -203,3 +203,26 @@ def test_one_task_connects_what_rounds_connect(spark):
     got = [sorted(map(tuple, graph.components(frame, n).collect())) for n in (0, 1_000)]
     assert got[0] == got[1] and len(got[0]) > 100
     assert graph.components(frame.limit(0), 1_000).count() == 0
+
+
+def test_prefixes_do_not_depend_on_how_texts_are_dealt(spark, monkeypatch):
+    """The pipeline's shingles, counted in one part by one task or in many from many batches."""
+    random.seed(12)
+    passages = [" ".join(f"p{i}x{k}" for k in range(9)) for i in range(12)]
+    texts = [(i, " ".join([*random.sample(passages, 3), *(f"u{i}x{k}" for k in range(random.choice([0, 2, 40])))]))
+             for i in range(90)] + [(90, None), (91, "p0x0 p0x1")]
+    alike, key = ngrams.Alike(5, 80), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    expected = _brute_prefixes(texts, alike)
+    assert expected
+    before = spark.conf.get(key)
+    for parts, size, rows, tasks in ((1, 10**9, 2_000, 1), (3, 500, 7, 5)):
+        monkeypatch.setattr(ngrams, "PARTS", parts)
+        monkeypatch.setattr(ngrams, "PART_BYTES", size)
+        spark.conf.set(key, rows)
+        try:
+            got = ngrams._prefixes(ngrams.cut_texts(docs.repartition(tasks), alike)).select(
+                "node", "n", "token", "rank").collect()
+        finally:
+            spark.conf.set(key, before)
+        assert sorted(map(tuple, got)) == expected
